@@ -28,10 +28,9 @@ def label_index(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     columns = columns or schemas.TEXT_COLUMNS
     order = [F.asc("column_name"), F.desc("label_count"), F.asc("label")]
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_labels = (
         label_counts(df, columns)
-        .repartitionByRange(slices, *order)
+        .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("place", F.monotonically_increasing_id())
     )
@@ -59,7 +58,7 @@ def label_index(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     same_slice = (F.col("column_name") == F.col("start_column")) & (
         F.col("slice") == F.col("start_slice")
     )
-    # At most columns x slices rows, whatever the data size.
+    # At most one row per column and shuffle partition, whatever the data size.
     placed = placed.join(F.broadcast(starts), same_slice)
     return placed.select(
         "column_name",
