@@ -8,9 +8,12 @@ with column means over all complete rows, before coordinates are summed.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stopwise import schemas
 from stopwise.operators import cleaning
+from stopwise.operators.correlation import correlated_columns, correlation_pairs
+from stopwise.operators.nulls import null_columns
 
 
 def complete_records(raw: DataFrame) -> DataFrame:
@@ -39,3 +42,19 @@ def analysis_lane(raw: DataFrame, *, include_integers: bool = True) -> DataFrame
     ]
     records = cleaning.impute_means(complete_records(raw), columns=numeric)
     return derive_features(records, [])
+
+
+def table_rows(processed: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Processed records with the stored table's column order and types."""
+    typed = [F.col(c).cast(schemas.processed_type(c)).alias(c) for c in schemas.TABLE_ORDER]
+    return processed.select(*typed, *keep)
+
+
+def selected_features(processed: DataFrame) -> DataFrame:
+    """Processed records with the correlated columns nulled out.
+
+    The chosen columns are at most as many as the schema has.
+    """
+    pairs = correlation_pairs(processed.select(*schemas.FEATURE_ORDER))
+    chosen = [r.column_name for r in correlated_columns(pairs).collect()]
+    return null_columns(processed, chosen)

@@ -6,7 +6,6 @@ import datetime as dt
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stopwise import schemas
@@ -119,5 +118,4 @@ def append_rows(
         rows.sparkSession, url, table, properties=properties, predicates=predicates
     )
     missing = missing_rows(rows.select(*schemas.TABLE_ORDER), stored)
-    typed = missing.withColumn("Delay", F.col("Delay").cast("double"))
-    typed.coalesce(connections).write.jdbc(url, table, mode="append", properties=properties)
+    missing.coalesce(connections).write.jdbc(url, table, mode="append", properties=properties)

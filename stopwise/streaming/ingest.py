@@ -12,10 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stopwise import schemas
 from stopwise.operators import dedup
 from stopwise.operators.readiness import is_ready
-from stopwise.plans.lanes import ingest_lane
+from stopwise.plans.lanes import ingest_lane, table_rows
 from stopwise.sources import record_table
 from stopwise.sources.messages import decode_messages, is_undecodable
 
@@ -51,7 +50,7 @@ def store_messages(
     # Read several times below; arrival numbers must not change in between.
     messages = messages.select("value", ARRIVAL).persist()
     decoded = decode_messages(messages, keep=("value", ARRIVAL))
-    processed = ingest_lane(decoded, keep=(ARRIVAL,))
+    processed = table_rows(ingest_lane(decoded, keep=(ARRIVAL,)), keep=(ARRIVAL,))
     stored = record_table.stored_for(processed, table, batch)
     classified = dedup.classify(processed, ARRIVAL, stored).persist()
     try:
@@ -65,7 +64,7 @@ def store_messages(
         rejected = dedup.rejects(classified).unionByName(undecodable, allowMissingColumns=True)
         write_rejects(rejected, rejects, batch)
         if publish is not None:
-            publish(accepted.select(*schemas.TABLE_ORDER))
+            publish(accepted.drop(ARRIVAL))
     finally:
         classified.unpersist()
         messages.unpersist()
