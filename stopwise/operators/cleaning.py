@@ -61,10 +61,15 @@ def impute_means(
     )
 
 
-def fill_missing_text(df: DataFrame) -> DataFrame:
-    """Replace null text by the empty string, except in the arrival times."""
-    text = [c for c in columns_of_type(df, T.StringType) if c not in schemas.ARRIVAL_TIMES]
-    return df.fillna("", subset=text)
+def fill_missing_text(df: DataFrame, *, columns: list[str] | None = None) -> DataFrame:
+    """Replace null text by the empty string, except in the arrival times.
+
+    Only the record's own text columns are filled, not columns carried along.
+    """
+    if columns is None:
+        text = columns_of_type(df, T.StringType)
+        columns = [c for c in text if c in schemas.TEXT_COLUMNS]
+    return df.fillna("", subset=columns)
 
 
 def split_timestamps(df: DataFrame) -> DataFrame:

@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stopwise import schemas
 from stopwise.operators import dedup
 from stopwise.operators.readiness import is_ready
 from stopwise.plans.lanes import ingest_lane, table_rows
+from stopwise.session import shared_folder
 from stopwise.sources import record_table
 from stopwise.sources.messages import decode_messages, is_undecodable
 
 ARRIVAL = "arrival"
+MESSAGE = "message"
 
 
 def write_rejects(rejected: DataFrame, path: str, batch: str) -> None:
@@ -37,37 +40,40 @@ def store_messages(
     *,
     table: str,
     rejects: str,
+    staging: str | None = None,
     publish: Callable[[DataFrame], None] | None = None,
 ) -> None:
     """Decode, clean and store one batch of messages.
 
     ``messages`` has ``value`` and ``arrival``; without ``arrival`` the order
-    of the rows within the batch counts. ``publish`` gets the accepted rows,
-    for example to append them to a database table.
+    of the rows within the batch counts. ``staging`` is overwritten. ``publish``
+    gets the accepted rows, for example to append them to a database table.
     """
     if ARRIVAL not in messages.columns:
         messages = messages.withColumn(ARRIVAL, F.monotonically_increasing_id())
-    # Read several times below; arrival numbers must not change in between.
-    messages = messages.select("value", ARRIVAL).persist()
     decoded = decode_messages(messages, keep=("value", ARRIVAL))
-    processed = table_rows(ingest_lane(decoded, keep=(ARRIVAL,)), keep=(ARRIVAL,))
-    stored = record_table.stored_for(processed, table, batch)
-    classified = dedup.classify(processed, ARRIVAL, stored).persist()
-    try:
-        accepted = dedup.accepted(classified)
-        record_table.write_batch(accepted, table, batch)
-        undecodable = decoded.filter(is_undecodable()).select(
-            F.col("value").cast("string").alias("message"),
-            ARRIVAL,
-            F.lit(dedup.UNDECODABLE).alias("reason"),
-        )
-        rejected = dedup.rejects(classified).unionByName(undecodable, allowMissingColumns=True)
-        write_rejects(rejected, rejects, batch)
-        if publish is not None:
-            publish(accepted.drop(ARRIVAL))
-    finally:
-        classified.unpersist()
-        messages.unpersist()
+    decoded = decoded.withColumn(
+        MESSAGE, F.when(is_undecodable(), F.col("value").cast("string"))
+    )
+    # Empty arrival times take an undecodable message past the filter for
+    # incomplete records, so that it reaches the rejects in the same pass.
+    empty = F.when(F.col(MESSAGE).isNotNull(), F.lit(""))
+    decoded = decoded.withColumns(
+        {c: F.coalesce(F.col(c), empty) for c in schemas.ARRIVAL_TIMES}
+    )
+    keep = (ARRIVAL, MESSAGE)
+    processed = table_rows(ingest_lane(decoded, keep=keep), keep=keep)
+    undecodable = F.when(F.col(MESSAGE).isNotNull(), F.lit(dedup.UNDECODABLE))
+
+    def stored(valid: DataFrame) -> DataFrame:
+        return record_table.stored_for(valid, table, batch)
+
+    classified = dedup.classify(processed, ARRIVAL, stored, staging, undecodable)
+    accepted = dedup.accepted(classified).select(*schemas.TABLE_ORDER)
+    record_table.write_batch(accepted, table, batch)
+    write_rejects(dedup.rejects(classified), rejects, batch)
+    if publish is not None:
+        publish(accepted)
 
 
 def start_ingest(
@@ -86,9 +92,16 @@ def start_ingest(
     again at 0 there, and equal names would replace each other's rows.
     """
 
+    staging = shared_folder(messages.sparkSession)
+
     def handle(batch_messages: DataFrame, batch_id: int) -> None:
         store_messages(
-            batch_messages, f"{feed}-{batch_id}", table=table, rejects=rejects, publish=publish
+            batch_messages,
+            f"{feed}-{batch_id}",
+            table=table,
+            rejects=rejects,
+            staging=staging,
+            publish=publish,
         )
 
     return (
