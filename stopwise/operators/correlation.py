@@ -121,7 +121,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     """Absolute correlation ``r`` of every column pair with a shared value.
 
     Columns are cast to double first. A row counts for a pair if it has both
-    values. ``r`` is null when either column is constant over those rows.
+    values. ``r`` is null when either column is constant or infinite over those rows.
     Output: ``i``, ``j`` (positions, i < j), ``column_i``, ``column_j``,
     ``pair_rows``, ``r``.
     """
@@ -130,13 +130,14 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     merged = _merge_by_pair(numbers.mapInArrow(_task_moments, _MOMENTS))
     names = F.array(*[F.lit(c) for c in columns])
     r = F.abs(F.try_divide(F.col("c_xy"), F.sqrt("m2_x") * F.sqrt("m2_y")))
+    defined = F.col("x_varies") & F.col("y_varies") & ~F.isnan(r)
     return merged.select(
         "i",
         "j",
         names[F.col("i")].alias("column_i"),
         names[F.col("j")].alias("column_j"),
         "pair_rows",
-        F.when(F.col("x_varies") & F.col("y_varies"), F.least(r, F.lit(1.0))).alias("r"),
+        F.when(defined, F.least(r, F.lit(1.0))).alias("r"),
     )
 
 

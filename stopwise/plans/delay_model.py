@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from stopwise import schemas
 from stopwise.functions import whole_minutes
 from stopwise.operators import ranking
-from stopwise.operators.nulls import drop_empty_columns, drop_empty_rows
+from stopwise.operators.nulls import drop_empty_rows, empty_columns
 from stopwise.session import shared_folder
 
 # Fixed values.
@@ -100,11 +100,12 @@ def train(
     records: DataFrame, path: str, *, exclude: tuple[str, ...] = (), **settings: int
 ) -> PipelineModel:
     """Fit on the training part of a snapshot of ``records`` and save the model."""
-    rows = snapshot(drop_empty_rows(records.drop(*exclude)).filter(F.col(LABEL).isNotNull()))
-    rows = drop_empty_columns(rows)
-    _check_label_count(rows, [c for c in rows.columns if c in schemas.TEXT_COLUMNS])
+    rows = snapshot(drop_empty_rows(records).filter(F.col(LABEL).isNotNull()))
+    unused = {*exclude, *empty_columns(rows)}
+    columns = [c for c in rows.columns if c not in unused]
+    _check_label_count(rows, [c for c in columns if c in schemas.TEXT_COLUMNS])
     training, _ = split(rows)
-    model = build_pipeline(rows.columns, **settings).fit(training)
+    model = build_pipeline(columns, **settings).fit(training.select(*columns))
     model.write().overwrite().save(path)
     return model
 

@@ -1,0 +1,101 @@
+import pytest
+from records import table_rows
+from pyspark.sql import functions as F
+
+from stopwise.plans import delay_model as dm
+
+
+@pytest.fixture(scope="module")
+def records(spark):
+    changes = [
+        {
+            "RecordedAtTime_minute": n % 60,
+            "RecordedAtTime_hour": n // 60,
+            "DistanceFromStop": float(n % 13),
+            "Delay": float((n % 13) * 30 - 100),
+            "VehicleRef": f"V{n % 7}",
+            "DirectionRef": None if n % 9 == 0 else n % 2,
+            "ExpectedArrivalTime_second": None,
+        }
+        for n in range(150)
+    ]
+    return table_rows(spark, *changes).drop("arrival").repartition(4).cache()
+
+
+@pytest.fixture(scope="module")
+def trained(spark, records, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("model") / "m")
+    assert dm.load(spark, path) is None
+    return path, dm.train_or_load(records, path, trees=10)
+
+
+def _predictions(model, df):
+    rows = dm.predict(model, df).select("RecordedAtTime_hour", "RecordedAtTime_minute", dm.PREDICTION)
+    return {tuple(r)[:2]: r[2] for r in rows.collect()}
+
+
+def test_split_covers_all_rows_and_ignores_partitioning(records):
+    training, held_out = dm.split(records)
+    assert training.count() + held_out.count() == 150
+    assert 10 <= held_out.count() <= 50
+    again = dm.split(records.repartition(9))[1]
+    key = ["RecordedAtTime_hour", "RecordedAtTime_minute"]
+    assert held_out.select(key).exceptAll(again.select(key)).isEmpty()
+
+
+def test_saved_model_predicts_the_same(spark, records, trained):
+    path, model = trained
+    loaded = dm.load(spark, path)
+    assert _predictions(loaded, records) == _predictions(model, records)
+    assert dm.train_or_load(records.limit(0), path).uid == loaded.uid
+
+
+def test_predictions_lie_within_the_labels(records, trained):
+    values = _predictions(trained[1], records).values()
+    assert len(values) == 150
+    assert min(values) >= -100 and max(values) <= 260
+    assert dm.holdout_error(trained[1], records) < 60
+
+
+def test_forest_settings(trained):
+    forest = trained[1].stages[-1]
+    assert forest.getOrDefault("seed") == 16
+    assert forest.getOrDefault("featureSubsetStrategy") == "all"
+    assert forest.getNumTrees == 10
+    inputs = trained[1].stages[-2].getInputCols()
+    assert "VehicleRef_indexed_feature" in inputs
+    assert not any("ExpectedArrivalTime_second" in c or "Delay" in c for c in inputs)
+
+
+def test_unseen_and_missing_labels_score(records, trained):
+    new = records.limit(4).withColumns({"VehicleRef": F.lit("new"), "OriginName": F.lit(None).cast("string")})
+    assert dm.predict(trained[1], new).filter(F.col(dm.PREDICTION).isNotNull()).count() == 4
+
+
+def test_empty_rows_are_not_scored(records, trained):
+    empty = records.limit(1).select([F.lit(None).cast(t).alias(c) for c, t in records.dtypes])
+    assert dm.predict(trained[1], records.limit(2).union(empty)).count() == 2
+
+
+def test_too_many_labels_are_refused(records, tmp_path, monkeypatch):
+    monkeypatch.setattr(dm, "MAX_LABELS", 3)
+    with pytest.raises(ValueError, match="VehicleRef"):
+        dm.train(records, str(tmp_path / "m"))
+
+
+def test_excluded_columns_are_no_features(records, tmp_path):
+    model = dm.train(records, str(tmp_path / "m"), exclude=("DistanceFromStop",), trees=1)
+    assert not any("DistanceFromStop" in c for c in model.stages[-2].getInputCols())
+
+
+def test_reports(spark, records, trained, tmp_path):
+    latest = dm.rescore_latest(trained[1], records)
+    assert latest.columns == ["Vehicle Reference", "Next Stop Point", "Predicted Delay (minutes)"]
+    assert latest.count() == 5
+    first = dm.first_report(records, str(tmp_path / "m"), trees=3)
+    assert first.count() == 5 and first.columns == latest.columns
+
+
+def test_report_minutes(spark):
+    scored = spark.createDataFrame([("V", "S", -30.0)], f"VehicleRef string, NextStopPointName string, {dm.PREDICTION} double")
+    assert tuple(dm.report(scored).first()) == ("V", "S", -1)
