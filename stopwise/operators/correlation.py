@@ -43,11 +43,9 @@ class _PairMoments:
         if present.all():
             self._add_block(x, np.arange(x.shape[1]))
             return
-        bits = np.packbits(present, axis=1)
-        _, pattern = np.unique(bits, axis=0, return_inverse=True)
-        order = np.argsort(pattern.ravel(), kind="stable")
-        cuts = np.flatnonzero(np.diff(pattern.ravel()[order])) + 1
-        for rows in np.split(order, cuts):
+        order = np.lexsort(np.packbits(present, axis=1).T)
+        changes = (present[order[1:]] != present[order[:-1]]).any(axis=1)
+        for rows in np.split(order, np.flatnonzero(changes) + 1):
             columns = np.flatnonzero(present[rows[0]])
             if columns.size:
                 self._add_block(x[np.ix_(rows, columns)], columns)

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stopwise.functions import typed_null
 
+# Everything the cast to double accepts. The cast meets other text with an
+# exception inside, which costs far more than this test does.
+_NUMBER = (
+    r"(?i)^[\x00-\x20]*[-+]?(inf|infinity|nan|0x.*"
+    r"|(\d+\.?\d*|\.\d+)(e[-+]?\d+)?)[fd]?[\x00-\x20]*$"
+)
+
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
     """Drop rows in which every column is null."""
@@ -43,4 +51,12 @@ def null_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def as_doubles(df: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns as doubles; text that is no number becomes null."""
-    return df.select([F.col(c).try_cast("double").alias(c) for c in columns])
+    return df.select([_as_double(df, c).alias(c) for c in columns])
+
+
+def _as_double(df: DataFrame, name: str) -> Column:
+    column = F.col(name)
+    number = column.try_cast("double")
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return F.when(column.rlike(_NUMBER), number)
+    return number

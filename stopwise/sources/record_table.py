@@ -81,9 +81,14 @@ def stored_for(rows: DataFrame, table: str, batch: str) -> DataFrame:
 
 
 def write_batch(rows: DataFrame, table: str, batch: str) -> None:
-    """Store a batch's rows, replacing what an earlier try of it left behind."""
+    """Store a batch's rows, replacing what an earlier try of it left behind.
+
+    Rows are brought together by date, so that a date gets few files whatever
+    the number of tasks; a large date is split over several tasks.
+    """
     (
         rows.select(*schemas.TABLE_ORDER)
+        .hint("rebalance", *schemas.DATE_PARTITION)
         .withColumn(BATCH, F.lit(batch))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
