@@ -10,10 +10,6 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # The JVM does not compile methods above 8000 bytes of bytecode. The wide
-    # cleaning projection is faster in separate compiled pieces than in one
-    # interpreted method (measured: a quarter less time).
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Jobs need no call site for every column expression (measured: a quarter
     # less time to build the plans).
     "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -12,33 +12,31 @@ from stopwise import schemas
 
 ARRIVAL = "event_id"
 
-_FULL = "yyyy-MM-dd HH:mm:ss"
 
-
-def _shifted(seconds: str) -> str:
-    return f"(ts + make_dt_interval(0, 0, 0, {seconds}))"
+def _text(seconds: str = "0") -> str:
+    """``yyyy-MM-dd HH:mm:ss`` of the event's time, shifted; no time zone involved."""
+    return f"substr(cast(ts + ({seconds}) * interval '1' second as string), 1, 19)"
 
 
 def _scheduled() -> str:
-    at = _shifted("event_id % 900")
-    hour, rest = f"date_format({at}, 'HH')", f"date_format({at}, ':mm:ss')"
+    clock = f"substr({_text('event_id % 900')}, 12)"
     return (
         "case when event_id % 17 = 0 then null"
-        f" when {hour} = '00' and event_id % 2 = 0 then concat('24', {rest})"
-        f" else concat({hour}, {rest}) end"
+        f" when {clock} like '00%' and event_id % 2 = 0 then concat('24', substr({clock}, 3))"
+        f" else {clock} end"
     )
 
 
 def _expected() -> str:
     return (
         "case when event_id % 7 = 0 then null when event_id % 101 = 0 then 'bad'"
-        f" else date_format({_shifted('event_id % 1200')}, '{_FULL}') end"
+        f" else {_text('event_id % 1200')} end"
     )
 
 
 def _vehicle(base: float, offset: str) -> str:
     return (
-        f"case when event_id % 13 = 0 then null"
+        "case when event_id % 13 = 0 then null"
         f" else cast({base} as double) + {offset} * cast(0.001 as double) end"
     )
 
@@ -48,7 +46,7 @@ def _degrees(base: float, modulus: int) -> str:
 
 
 _EXPRESSIONS = {
-    "RecordedAtTime": f"date_format(ts, '{_FULL}')",
+    "RecordedAtTime": _text(),
     "DirectionRef": "case when event_id % 41 = 0 then null else cast(event_id % 2 as int) end",
     "PublishedLineName": "case when event_id % 29 = 0 then null else concat('L', user_id % 20) end",
     "OriginName": "concat('O', user_id % 10)",

@@ -50,6 +50,11 @@ def test_saved_model_predicts_the_same(spark, records, trained):
     assert dm.train_or_load(records.limit(0), path).uid == loaded.uid
 
 
+def test_the_same_rows_give_the_same_model(records, trained, tmp_path):
+    again = dm.train(records.repartition(3), str(tmp_path / "m"), trees=10)
+    assert _predictions(again, records) == _predictions(trained[1], records)
+
+
 def test_predictions_lie_within_the_labels(records, trained):
     values = _predictions(trained[1], records).values()
     assert len(values) == 150
