@@ -50,16 +50,24 @@ def contested_keys(rows: DataFrame, arrival: str, stored: DataFrame | None = Non
     """Keys seen more than once in ``rows`` or present in ``stored``.
 
     ``first_arrival`` is the arrival that wins, or null if the key is stored.
+    The stored keys are filtered by a semi join with the keys of the rows: for
+    a small batch these are broadcast, and the stored rows are only scanned.
     """
     keys = rows.groupBy(*schemas.KEY).agg(
         F.min(arrival).alias("first_arrival"), F.count(F.lit(1)).alias("seen")
     )
+    repeated = keys.filter("seen > 1").drop("seen")
     if stored is None:
-        return keys.filter("seen > 1").drop("seen")
-    taken = stored.select(*schemas.KEY).withColumn("taken", F.lit(True))
-    matched = keys.join(taken, schemas.KEY, "left").filter("seen > 1 or taken")
-    winner = F.when(F.col("taken").isNull(), F.col("first_arrival"))
-    return matched.select(*schemas.KEY, winner.alias("first_arrival")).dropDuplicates(schemas.KEY)
+        return repeated
+    taken = stored.select(*schemas.KEY).join(keys, schemas.KEY, "left_semi")
+    both = repeated.withColumn("taken", F.lit(False)).unionByName(
+        taken.withColumn("taken", F.lit(True)), allowMissingColumns=True
+    )
+    merged = both.groupBy(*schemas.KEY).agg(
+        F.max("taken").alias("taken"), F.min("first_arrival").alias("first_arrival")
+    )
+    winner = F.when(~F.col("taken"), F.col("first_arrival"))
+    return merged.select(*schemas.KEY, winner.alias("first_arrival"))
 
 
 def classify(

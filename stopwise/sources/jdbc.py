@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -15,6 +14,7 @@ _SQL_TYPES = {
     T.DoubleType: "DOUBLE PRECISION",
     T.StringType: f"VARCHAR({schemas.MAX_TEXT_LENGTH})",
 }
+_MAX_DATES = 366
 _SPARK_TYPES = {T.IntegerType: "INT", T.DoubleType: "DOUBLE", T.StringType: "STRING"}
 
 
@@ -92,9 +92,20 @@ def missing_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.join(stored.select(*schemas.KEY), schemas.KEY, "left_anti")
 
 
-def dates_in(rows: DataFrame) -> Iterable[tuple[int, int, int]]:
-    """Recorded dates of ``rows``; bounded by the calendar, not by the rows."""
-    return [tuple(r) for r in rows.select(*schemas.DATE_PARTITION).distinct().collect()]
+def stored_for(
+    rows: DataFrame, url: str, table: str, *, properties: dict[str, str], connections: int
+) -> DataFrame:
+    """Stored rows on the dates of ``rows``, one read task per date.
+
+    With more than ``_MAX_DATES`` dates the whole table is read in hour slices
+    instead, which serves the same purpose.
+    """
+    dates = rows.select(*schemas.DATE_PARTITION).distinct().limit(_MAX_DATES + 1).collect()
+    spark = rows.sparkSession
+    if len(dates) > _MAX_DATES:
+        return read_table(spark, url, table, properties=properties, hour_slices=connections)
+    predicates = [date_predicate(*d) for d in dates] or ["1 = 0"]
+    return read_table(spark, url, table, properties=properties, predicates=predicates)
 
 
 def append_rows(
@@ -109,13 +120,9 @@ def append_rows(
 
     Each write task is one transaction, in which a single duplicate would roll
     back all rows; the rows are therefore compared with the stored keys of
-    their dates first.
+    their dates first. At most ``connections`` tasks write at a time.
     """
-    predicates = [date_predicate(*d) for d in dates_in(rows)]
-    if not predicates:
-        return
-    stored = read_table(
-        rows.sparkSession, url, table, properties=properties, predicates=predicates
-    )
-    missing = missing_rows(rows.select(*schemas.TABLE_ORDER), stored)
-    missing.coalesce(connections).write.jdbc(url, table, mode="append", properties=properties)
+    rows = rows.select(*schemas.TABLE_ORDER)
+    stored = stored_for(rows, url, table, properties=properties, connections=connections)
+    missing = missing_rows(rows, stored).coalesce(connections)
+    missing.write.jdbc(url, table, mode="append", properties=properties)

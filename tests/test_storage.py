@@ -81,6 +81,37 @@ def test_random_rows_with_a_hot_key_match_brute_force(spark, broadcast):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_random_batches_match_one_batch(spark, broadcast):
+    rng = random.Random(4)
+    changes = [{"arrival": n, "Delay": float(rng.choice([1, 1, rng.randrange(40)]))} for n in range(200)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        reasons, stored = {}, table_rows(spark).select(*schemas.TABLE_ORDER)
+        for start in range(0, 200, 50):
+            rows = table_rows(spark, *changes[start : start + 50])
+            classified = dedup.classify(rows, "arrival", lambda valid: stored)
+            reasons |= _reasons(classified)
+            stored = stored.union(dedup.accepted(classified).select(*schemas.TABLE_ORDER))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    whole = [{**c, "RecordedAtTime_day": 1} for c in changes]
+    assert reasons == _brute_force(whole)
+
+
+def test_a_small_batch_leaves_the_stored_rows_unshuffled(spark, tmp_path):
+    record_table.write_batch(table_rows(spark, {}), str(tmp_path / "t"), "b-0")
+    rows = table_rows(spark, {}, {"Delay": 2.0})
+    rows.write.parquet(str(tmp_path / "r"))
+    rows = spark.read.parquet(str(tmp_path / "r"))
+    stored = record_table.stored_for(rows, str(tmp_path / "t"), "b-1")
+    contested = dedup.contested_keys(rows, "arrival", stored)
+    plan = contested._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan and "SortMergeJoin" not in plan
+    assert [r.first_arrival for r in contested.collect()] == [None]
+
+
 def test_few_contested_keys_leave_the_rows_unshuffled(spark):
     classified = dedup.classify(table_rows(spark, {}, {}, {"Delay": 2.0}), "arrival")
     plan = classified._jdf.queryExecution().executedPlan().toString()
