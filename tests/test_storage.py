@@ -81,6 +81,31 @@ def test_random_rows_with_a_hot_key_match_brute_force(spark, broadcast):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_a_hot_key_is_split_when_the_join_shuffles(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    changes = [{"arrival": n, "Delay": 1.0 if n % 3 else float(n)} for n in range(3000)]
+    rows = table_rows(spark, *changes).repartition(8)
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        classified = dedup.classify(rows, "arrival")
+        got = classified.groupBy("reason").count().withColumn("n", F.col("count"))
+        assert {r.reason: r.n for r in got.collect()} == {None: 1001, dedup.DUPLICATE_KEY: 1999}
+        classified.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("broadcast", ["10MB", "-1"])
 def test_random_batches_match_one_batch(spark, broadcast):
     rng = random.Random(4)
