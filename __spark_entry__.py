@@ -60,13 +60,17 @@ def _accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.accepted(_classified(spark, sf_dir)).drop(ARRIVAL)
 
 
-def _redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third record comes again, after all others and with other text."""
-    once = _raw_in_order(spark, sf_dir)
-    again = once.filter(F.col(ARRIVAL) % 3 == 0).withColumns(
+def _second_delivery(once: DataFrame) -> DataFrame:
+    """Every third record once more, after all others and with other text."""
+    return once.filter(F.col(ARRIVAL) % 3 == 0).withColumns(
         {ARRIVAL: F.col(ARRIVAL) + _SECOND_DELIVERY, "ArrivalProximityText": F.lit("again")}
     )
-    return dedup.classify(_table_rows(once.unionByName(again)), ARRIVAL)
+
+
+def _redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = _raw_in_order(spark, sf_dir)
+    both = once.unionByName(_second_delivery(once))
+    return dedup.classify(_table_rows(both), ARRIVAL)
 
 
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,22 +158,36 @@ def redelivery_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.rejects(_redelivered(spark, sf_dir))
 
 
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All records as message files, replayed through the streaming ingest."""
+def _stream(spark: SparkSession, *deliveries: DataFrame) -> DataFrame:
+    """Stored records after each delivery was written as message files and the
+    streaming ingest, resumed from its checkpoint, caught up with it."""
     folder = shared_folder(spark)
-    messages.write_message_files(messages.encode_messages(_raw(spark, sf_dir)), f"{folder}/in")
-    query = ingest.start_ingest(
-        messages.read_message_files(spark, f"{folder}/in"),
-        table=f"{folder}/table",
-        rejects=f"{folder}/rejects",
-        checkpoint=f"{folder}/checkpoint",
-        feed="replay",
-        trigger={"availableNow": True},
-    )
-    query.awaitTermination()
+    for delivery in deliveries:
+        encoded = messages.encode_messages(delivery)
+        messages.write_message_files(encoded, f"{folder}/in")
+        query = ingest.start_ingest(
+            messages.read_message_files(spark, f"{folder}/in"),
+            table=f"{folder}/table",
+            rejects=f"{folder}/rejects",
+            checkpoint=f"{folder}/checkpoint",
+            feed="replay",
+            trigger={"availableNow": True},
+        )
+        query.awaitTermination()
     return record_table.read_records(spark, f"{folder}/table")
 
 
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records replayed through the streaming ingest."""
+    return _stream(spark, _raw(spark, sf_dir))
+
+
+def stream_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a third of the records delivered again in a later run."""
+    once = _raw_in_order(spark, sf_dir)
+    return _stream(spark, once, _second_delivery(once))
+
+
 def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(correlation.correlation_pairs(_analysis(spark, sf_dir)), ["r"])
 
@@ -282,6 +300,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         redelivery_accepted,
         redelivery_rejects,
         stream_ingest,
+        stream_redelivery,
         correlation_pairs,
         correlated_columns,
         selected_features,

@@ -197,6 +197,7 @@ def _code(column: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     accepted = f"{_with(*_ACCEPTED)} select {_TABLE_NAMES} from accepted"
+    redelivered = f"{_with(*_REDELIVERED)} select {_TABLE_NAMES} from accepted"
     latest = f"{accepted} order by {_NEWEST} limit 100"
     raw = f"{_with(BUS)} select {_RAW_LIST} from bus"
     return {
@@ -219,10 +220,11 @@ def oracle_sql() -> dict[str, str]:
         "sink_accepted": accepted,
         "sink_rejects": f"""{_with(*_ACCEPTED)} select {_TABLE_NAMES}, arrival, reason
             from classified where reason is not null""",
-        "redelivery_accepted": f"{_with(*_REDELIVERED)} select {_TABLE_NAMES} from accepted",
+        "redelivery_accepted": redelivered,
         "redelivery_rejects": f"""{_with(*_REDELIVERED)} select {_TABLE_NAMES}, arrival, reason
             from classified where reason is not null""",
         "stream_ingest": accepted,
+        "stream_redelivery": redelivered,
         "correlation_pairs": f"""{_with(*_PROCESSED_IMPUTED, PAIRS)} select cast(i as int) as i,
             cast(j as int) as j, column_i, column_j, pair_rows, round(r, 6) as r from pairs""",
         "correlated_columns": f"""{_with(*_PROCESSED_IMPUTED, PAIRS)}

@@ -43,9 +43,18 @@ def topic_arrival() -> Column:
 
 
 def topic_options(
-    servers: str, topic: str = schemas.DEFAULT_TOPIC, *, max_per_trigger: int | None = None
+    servers: str,
+    topic: str = schemas.DEFAULT_TOPIC,
+    *,
+    max_per_trigger: int | None = None,
+    min_partitions: int | None = None,
 ) -> dict[str, str]:
-    """Read a topic from its first message; later runs resume by checkpoint."""
+    """Read a topic from its first message; later runs resume by checkpoint.
+
+    ``max_per_trigger`` limits the pace. ``min_partitions`` splits large topic
+    partitions over several tasks, so one that holds most messages is no
+    bottleneck.
+    """
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
@@ -53,6 +62,8 @@ def topic_options(
     }
     if max_per_trigger is not None:
         options["maxOffsetsPerTrigger"] = str(max_per_trigger)
+    if min_partitions is not None:
+        options["minPartitions"] = str(min_partitions)
     return options
 
 

@@ -50,6 +50,16 @@ def read_records(spark: SparkSession, table: str) -> DataFrame:
     return (_empty(spark) if found is None else found).select(*schemas.TABLE_ORDER)
 
 
+def _existing(spark: SparkSession, table: str, folders: list[str]) -> list[str]:
+    """The folders that exist; a single look if all do."""
+    if not folders or _read(spark, table, folders) is not None:
+        return folders
+    if len(folders) == 1:
+        return []
+    middle = len(folders) // 2
+    return _existing(spark, table, folders[:middle]) + _existing(spark, table, folders[middle:])
+
+
 def _date_folder(table: str, date: tuple) -> str:
     parts = [f"{c}={v}" for c, v in zip(schemas.DATE_PARTITION, date)]
     return "/".join([table.rstrip("/"), *parts])
@@ -67,14 +77,15 @@ def stored_for(rows: DataFrame, table: str, batch: str) -> DataFrame:
     ``rows``. Only the folders of these dates are listed and read.
     """
     spark = rows.sparkSession
+    if not _existing(spark, table, [table]):
+        return _empty(spark)
     dates = rows.select(*schemas.DATE_PARTITION).dropna().distinct()
     dates = [tuple(r) for r in dates.limit(_MAX_DATE_FOLDERS + 1).collect()]
     if len(dates) > _MAX_DATE_FOLDERS:
-        found = _read(spark, table, [table])
+        folders = [table]
     else:
-        folders = [_date_folder(table, d) for d in dates]
-        folders = [f for f in folders if _read(spark, table, [f]) is not None]
-        found = _read(spark, table, folders) if folders else None
+        folders = _existing(spark, table, [_date_folder(table, d) for d in dates])
+    found = _read(spark, table, folders) if folders else None
     if found is None:
         return _empty(spark)
     return found.filter(F.col(BATCH) != batch)

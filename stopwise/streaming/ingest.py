@@ -49,6 +49,8 @@ def store_messages(
     of the rows within the batch counts. ``staging`` is overwritten. ``publish``
     gets the accepted rows, for example to append them to a database table.
     """
+    if messages.isEmpty():
+        return
     if ARRIVAL not in messages.columns:
         messages = messages.withColumn(ARRIVAL, F.monotonically_increasing_id())
     decoded = decode_messages(messages, keep=("value", ARRIVAL))

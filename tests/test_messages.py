@@ -56,6 +56,7 @@ def test_topic_options():
     assert plain["subscribe"] == schemas.DEFAULT_TOPIC
     assert "maxOffsetsPerTrigger" not in plain
     assert messages.topic_options("h", "t", max_per_trigger=5)["maxOffsetsPerTrigger"] == "5"
+    assert messages.topic_options("h", "t", min_partitions=64)["minPartitions"] == "64"
 
 
 def test_topic_arrival_orders_by_partition_and_offset(spark):

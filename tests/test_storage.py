@@ -202,6 +202,29 @@ def test_missing_rows(spark):
     assert [r.Delay for r in jdbc.missing_rows(rows, stored).collect()] == [2.0]
 
 
+def test_jdbc_append_skips_what_an_earlier_try_stored(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    asked, written = [], []
+
+    def read_table(spark, url, table, *, properties, predicates=None, hour_slices=None):
+        asked.append(predicates or hour_slices)
+        return table_rows(spark, {"RecordedAtTime_day": 2})
+
+    def write(writer, url, table, mode=None, properties=None):
+        written.append((table, mode, [r.RecordedAtTime_day for r in writer._df.collect()]))
+
+    monkeypatch.setattr(jdbc, "read_table", read_table)
+    monkeypatch.setattr(DataFrameWriter, "jdbc", write)
+    rows = table_rows(spark, *[{"RecordedAtTime_day": d} for d in (1, 2, 3)])
+    jdbc.append_rows(rows, "jdbc:none", "t", properties={})
+    assert sorted(asked[0]) == [jdbc.date_predicate(1, 1, d) for d in (1, 2, 3)]
+    assert [(t, m, sorted(days)) for t, m, days in written] == [("t", "append", [1, 3])]
+    monkeypatch.setattr(jdbc, "_MAX_DATES", 2)
+    jdbc.append_rows(rows, "jdbc:none", "t", properties={}, connections=4)
+    assert asked[1] == 4 and sorted(written[1][2]) == [1, 3]
+
+
 def test_jdbc_sql():
     import datetime as dt
 

@@ -106,6 +106,12 @@ def test_a_batch_run_twice_is_stored_once(spark, tmp_path, raw, expected):
     assert spark.read.parquet(f"{tmp_path}/r").count() == 137
 
 
+def test_an_empty_batch_leaves_no_trace(spark, tmp_path):
+    empty = spark.createDataFrame([], "value string")
+    ingest.store_messages(empty, "feed-0", table=f"{tmp_path}/t", rejects=f"{tmp_path}/r")
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_broken_messages_are_kept_as_rejects(feed, raw):
     feed.add_text("{broken", "[]", '{"OriginName": "no times"}')
     feed.add(raw.limit(50))
