@@ -7,95 +7,16 @@ column pair and task, and the work per row is a share of a matrix product.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopwise import schemas
+from stopwise.operators import pair_moments
 from stopwise.operators.nulls import as_doubles
 
-_MOMENTS = (
-    "i int, j int, n double, mean_x double, mean_y double, m2_x double, m2_y double,"
-    " c_xy double, lo_x double, hi_x double, lo_y double, hi_y double"
-)
-
-
-class _PairMoments:
-    """Moments of every column pair over the rows where both are present.
-
-    ``mean[a, b]``, ``m2[a, b]``, ``lo`` and ``hi`` describe column a over the
-    rows shared with b. Blocks are centred before they are squared and merged
-    by their means, so large offsets do not cancel; the exact minimum and
-    maximum tell a constant column from one with a tiny variance.
-    """
-
-    def __init__(self, width: int):
-        shape = (width, width)
-        self.n, self.mean, self.m2, self.c = (np.zeros(shape) for _ in range(4))
-        self.lo, self.hi = np.full(shape, np.inf), np.full(shape, -np.inf)
-
-    def add(self, x: np.ndarray) -> None:
-        """Add rows, one block for each pattern of present columns."""
-        present = ~np.isnan(x)
-        if present.all():
-            self._add_block(x, np.arange(x.shape[1]))
-            return
-        order = np.lexsort(np.packbits(present, axis=1).T)
-        changes = (present[order[1:]] != present[order[:-1]]).any(axis=1)
-        for rows in np.split(order, np.flatnonzero(changes) + 1):
-            columns = np.flatnonzero(present[rows[0]])
-            if columns.size:
-                self._add_block(x[np.ix_(rows, columns)], columns)
-
-    def _add_block(self, x: np.ndarray, columns: np.ndarray) -> None:
-        at = np.ix_(columns, columns)
-        added = float(x.shape[0])
-        total = self.n[at] + added
-        block_mean = x.mean(axis=0)
-        centred = x - block_mean
-        scatter = centred.T @ centred
-        gap = block_mean[:, None] - self.mean[at]
-        weight = self.n[at] * added / total
-        self.m2[at] += np.diag(scatter)[:, None] + gap * gap * weight
-        self.c[at] += scatter + gap * gap.T * weight
-        self.mean[at] += gap * added / total
-        self.lo[at] = np.minimum(self.lo[at], x.min(axis=0)[:, None])
-        self.hi[at] = np.maximum(self.hi[at], x.max(axis=0)[:, None])
-        self.n[at] = total
-
-    def rows(self) -> pa.RecordBatch:
-        i, j = np.triu_indices(self.n.shape[0], 1)
-        x, y = (i, j), (j, i)
-        values = {
-            "i": i.astype("int32"),
-            "j": j.astype("int32"),
-            "n": self.n[x],
-            "mean_x": self.mean[x],
-            "mean_y": self.mean[y],
-            "m2_x": self.m2[x],
-            "m2_y": self.m2[y],
-            "c_xy": self.c[x],
-            "lo_x": self.lo[x],
-            "hi_x": self.hi[x],
-            "lo_y": self.lo[y],
-            "hi_y": self.hi[y],
-        }
-        return pa.RecordBatch.from_pydict(values)
-
-
-def _task_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    moments = None
-    for batch in batches:
-        if moments is None:
-            moments = _PairMoments(batch.num_columns)
-        if batch.num_rows:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            moments.add(np.column_stack(columns).astype("float64", copy=False))
-    if moments is not None:
-        yield moments.rows()
+# Send the small task code itself, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(pair_moments)
 
 
 def _merge_by_pair(moments: DataFrame) -> DataFrame:
@@ -125,7 +46,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     """
     columns = columns or df.columns
     numbers = as_doubles(df, columns)
-    merged = _merge_by_pair(numbers.mapInArrow(_task_moments, _MOMENTS))
+    merged = _merge_by_pair(numbers.mapInArrow(pair_moments.task_moments, pair_moments.MOMENTS))
     names = F.array(*[F.lit(c) for c in columns])
     r = F.abs(F.try_divide(F.col("c_xy"), F.sqrt("m2_x") * F.sqrt("m2_y")))
     defined = F.col("x_varies") & F.col("y_varies") & ~F.isnan(r)

@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -97,3 +101,21 @@ def test_one_shuffle_and_no_row_explosion(spark):
     plan = correlation.correlation_pairs(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert "Generate" not in plan and "Expand" not in plan
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from stopwise.operators import correlation
+from stopwise.session import build_session
+spark = build_session("t", "local[2]", spark__ui__enabled="false")
+df = spark.createDataFrame([(1, 2.0), (2, 4.5), (3, 6.0)], "a int, b double")
+print("pairs", correlation.correlation_pairs(df).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120
+    )
+    assert "pairs 1" in ran.stdout, ran.stderr[-2000:]
