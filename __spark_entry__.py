@@ -27,6 +27,15 @@ from stopwise.session import shared_folder  # noqa: E402
 from stopwise.sources import csv_files, event_feed, messages, record_table  # noqa: E402
 from stopwise.streaming import ingest  # noqa: E402
 
+try:  # the operators on training data are an addition that may be left out
+    import corpus_pipeline  # noqa: E402
+    from stopwise.llm import queries as llm_queries  # noqa: E402
+    from stopwise.llm import sql as llm_sql  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "stopwise.llm"):
+        raise
+    corpus_pipeline = llm_queries = llm_sql = None
+
 ARRIVAL = "arrival"
 _SECOND_DELIVERY = 1_000_000_000_000
 
@@ -320,8 +329,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         first_report,
         rescore_latest,
     ]
-    return {"sink_accepted": _accepted, **{q.__name__: q for q in registered}}
+    named = {"sink_accepted": _accepted, **{q.__name__: q for q in registered}}
+    if llm_queries:
+        named |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return named
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    extra = llm_sql.oracle_sql() if llm_sql else {}
+    return oracles.oracle_sql() | extra
