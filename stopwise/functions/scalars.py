@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 # The padded form of TIMESTAMP_PATTERN. The cast alone would also take dates
 # without a time, fractions and unpadded fields; year 0 is not a valid year.
-_PADDED_TIMESTAMP = r"^(?!0000)\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
+_PADDED_TIMESTAMP = r"^(?!0000)\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\z"
 
 # Offset of each part within "HH:mm:ss".
 _CLOCK_OFFSETS = {"hour": 1, "minute": 4, "second": 7}
@@ -71,5 +71,11 @@ def whole_minutes(seconds: Column) -> Column:
     return F.floor(seconds / 60).cast("int")
 
 
+def whole_number(number: Column) -> Column:
+    """A double as an integer, null if it is no whole one: a column with gaps may
+    have been written as 1.0 rather than 1."""
+    return F.when(number == F.floor(number), number.try_cast("int"))
+
+
 def typed_null(data_type: T.DataType) -> Column:
     return F.lit(None).cast(data_type)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise import schemas
+from stopwise.functions.scalars import whole_number
 
 _PARTITION_SHIFT = 48  # offsets stay far below 2^48
 
@@ -22,12 +23,17 @@ def encode_messages(records: DataFrame) -> DataFrame:
 def decode_messages(messages: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw record fields from the JSON ``value``, plus the ``keep`` columns.
 
-    Missing or unfitting fields become null, extra ones are ignored. Broken
+    Missing or unfitting fields become null, extra ones are ignored; 1.0 fits an
+    integer, as a producer writes it whose column has gaps. Broken
     text gives a record of nulls, see ``is_undecodable``.
     """
-    record = F.from_json(F.col("value").cast("string"), schemas.raw_schema())
+    wide = ", ".join(f"`{n}` {'double' if t == 'int' else t}" for n, t in schemas.RAW_FIELDS)
+    record = F.from_json(F.col("value").cast("string"), wide)
     parsed = messages.select(record.alias("record"), *keep)
-    fields = [F.col(f"record.`{n}`").alias(n) for n, _ in schemas.RAW_FIELDS]
+    fields = []
+    for name, kind in schemas.RAW_FIELDS:
+        field = F.col(f"record.`{name}`")
+        fields.append((whole_number(field) if kind == "int" else field).alias(name))
     return parsed.select(*fields, *keep)
 
 

@@ -34,14 +34,14 @@ def test_decoding_is_lenient(spark):
         '{"OriginLat": 2}',
         '{"DirectionRef": 1.0, "VehicleRef": "V"}',
         '{"OriginName": "A", "unknown": 1}',
-        '{"OriginLat": "x", "OriginName": "A"}',
+        '{"OriginLat": "x", "OriginName": "A", "DirectionRef": 1.5}',
         "{bad",
         "{}",
         None,
     ).collect()
     assert rows[0].OriginLat == 2.0
-    assert rows[1].DirectionRef is None and rows[1].VehicleRef == "V"
-    assert rows[2].OriginName == rows[3].OriginName == "A"
+    assert rows[1].DirectionRef == 1 and rows[1].VehicleRef == "V"
+    assert rows[2].OriginName == rows[3].OriginName == "A" and rows[3].DirectionRef is None
     assert all(v is None for r in rows[4:] for v in r)
 
 

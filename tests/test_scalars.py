@@ -12,7 +12,7 @@ def _one(spark, value, type_name, expression):
 
 @pytest.mark.parametrize(
     "text",
-    ["bad", "", "2017-6-1 0:03:34", "2017-06-01", "2017-06-01 00:03:34.5", "2017-06-01T00:03:34",
+    ["bad", "", "2017-06-01 00:03:34\n", "2017-6-1 0:03:34", "2017-06-01", "2017-06-01 00:03:34.5", "2017-06-01T00:03:34",
      "2017-02-30 00:00:00", "2017-06-01 24:00:00", "0000-01-01 00:00:00", " 2017-06-01 00:03:34",
      "2017-06-01 00:03:3 ", "2017-06-01 00:03:60", None],
 )
