@@ -12,6 +12,9 @@ MOMENTS = (
     " c_xy double, lo_x double, hi_x double, lo_y double, hi_y double"
 )
 
+# A variance below this share of the shifted squares has lost too many digits.
+_LOST = 1e-6
+
 
 class PairMoments:
     """Moments of every column pair over the rows where both are present.
@@ -28,33 +31,65 @@ class PairMoments:
         self.lo, self.hi = np.full(shape, np.inf), np.full(shape, -np.inf)
 
     def add(self, x: np.ndarray) -> None:
-        """Add rows, one block for each pattern of present columns."""
+        """Add rows by products of the values with the mask of those present.
+
+        The cost does not depend on how the gaps are spread. Columns are shifted
+        to their means first; where a pair's variance is still lost in that of
+        its sums, its rows are looked at by themselves. An infinite value counts
+        as zero in the products and makes its pairs' moments undefined.
+        """
         present = ~np.isnan(x)
-        if present.all():
-            self._add_block(x, np.arange(x.shape[1]))
-            return
-        order = np.lexsort(np.packbits(present, axis=1).T)
-        changes = (present[order[1:]] != present[order[:-1]]).any(axis=1)
-        for rows in np.split(order, np.flatnonzero(changes) + 1):
-            columns = np.flatnonzero(present[rows[0]])
-            if columns.size:
-                self._add_block(x[np.ix_(rows, columns)], columns)
-
-    def _add_block(self, x: np.ndarray, columns: np.ndarray) -> None:
-        at = np.ix_(columns, columns)
-        added = float(x.shape[0])
-        total = self.n[at] + added
-        block_mean = x.mean(axis=0)
-        centred = x - block_mean
-        scatter = centred.T @ centred
-        gap = block_mean[:, None] - self.mean[at]
-        weight = self.n[at] * added / total
-        self.m2[at] += np.diag(scatter)[:, None] + gap * gap * weight
-        self.c[at] += scatter + gap * gap.T * weight
-        self.mean[at] += gap * added / total
-        self.lo[at] = np.minimum(self.lo[at], x.min(axis=0)[:, None])
-        self.hi[at] = np.maximum(self.hi[at], x.max(axis=0)[:, None])
-        self.n[at] = total
+        finite = np.isfinite(x)
+        known = np.where(finite, x, 0.0)
+        shift = known.sum(axis=0) / np.maximum(1, finite.sum(axis=0))
+        values = np.where(finite, x - shift, 0.0)
+        mask = present.astype("float64")
+        n = mask.T @ mask
+        some = np.maximum(n, 1.0)
+        sums = values.T @ mask
+        squares = (values * values).T @ mask
+        m2 = squares - sums * sums / some
+        c = values.T @ values - sums * sums.T / some
+        mean = shift[:, None] + sums / some
+        lo, hi = self._extremes(x, present)
+        lost = (n > 0) & (m2 <= _LOST * squares) & (lo < hi) & np.isfinite(lo) & np.isfinite(hi)
+        for a, b in np.argwhere(lost | lost.T):
+            rows = present[:, a] & present[:, b]
+            own, other = x[rows, a], x[rows, b]
+            mean[a, b] = own.mean()
+            m2[a, b] = ((own - mean[a, b]) ** 2).sum()
+            c[a, b] = ((own - mean[a, b]) * (other - other.mean())).sum()
+        m2[(n > 0) & (lo == hi)] = 0.0
+        endless = (np.isinf(x).astype("float64").T @ mask) > 0
+        m2[endless] = mean[endless] = np.nan
+        c[endless | endless.T] = np.nan
+        self._merge(n, mean, m2, c, lo, hi)
+
+    @staticmethod
+    def _extremes(x: np.ndarray, present: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest value of each column over the rows each other one has."""
+        width = x.shape[1]
+        lo, hi = np.full((width, width), np.inf), np.full((width, width), -np.inf)
+        if len(x) and present.all():
+            lo[:], hi[:] = x.min(axis=0)[:, None], x.max(axis=0)[:, None]
+            return lo, hi
+        low, high = np.where(present, x, np.inf), np.where(present, x, -np.inf)
+        for b in range(width):
+            rows = present[:, b]
+            if rows.any():
+                lo[:, b], hi[:, b] = low[rows].min(axis=0), high[rows].max(axis=0)
+        return lo, hi
+
+    def _merge(self, n, mean, m2, c, lo, hi) -> None:
+        total = self.n + n
+        some = np.maximum(total, 1.0)
+        gap = np.where((self.n > 0) & (n > 0), mean - self.mean, 0.0)
+        weight = self.n * n / some
+        self.m2 += np.where(n > 0, m2, 0.0) + gap * gap * weight
+        self.c += np.where(n > 0, c, 0.0) + gap * gap.T * weight
+        self.mean = np.where(self.n > 0, self.mean + gap * n / some, np.where(n > 0, mean, 0.0))
+        self.lo, self.hi = np.minimum(self.lo, lo), np.maximum(self.hi, hi)
+        self.n = total
 
     def rows(self) -> pa.RecordBatch:
         i, j = np.triu_indices(self.n.shape[0], 1)
