@@ -10,14 +10,15 @@ def record_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("record_count"))
 
 
-def readiness(df: DataFrame, threshold: int = 100) -> DataFrame:
-    """One row: whether at least ``threshold`` records exist.
+def is_ready(df: DataFrame, threshold: int = 100) -> bool:
+    """Whether at least ``threshold`` records exist.
 
-    Each task stops after ``threshold`` rows.
+    A few splits are tried first and more only while rows are missing.
     """
-    enough = F.count(F.lit(1)) >= threshold
-    return df.limit(threshold).agg(enough.alias("ready"))
+    return len(df.select(F.lit(1)).take(threshold)) >= threshold
 
 
-def is_ready(df: DataFrame, threshold: int = 100) -> bool:
-    return df.limit(threshold).count() >= threshold
+def readiness(df: DataFrame, threshold: int = 100) -> DataFrame:
+    """One row: whether at least ``threshold`` records exist."""
+    ready = is_ready(df, threshold)
+    return df.sparkSession.range(1).select(F.lit(ready).alias("ready"))
