@@ -30,6 +30,15 @@ def rename_dotted(raw: DataFrame) -> DataFrame:
     return raw.withColumnsRenamed(schemas.DOTTED_NAMES)
 
 
+_SPELLING = {c.lower(): c for c in schemas.TABLE_ORDER}
+
+
+def restore_names(records: DataFrame) -> DataFrame:
+    """Processed records with their columns spelled as here; databases fold names."""
+    folded = {c: _SPELLING[c.lower()] for c in records.columns if _SPELLING.get(c.lower(), c) != c}
+    return records.withColumnsRenamed(folded) if folded else records
+
+
 def parse_times(df: DataFrame) -> DataFrame:
     """Turn the two full timestamps from text into timestamps."""
     return df.withColumns(

@@ -58,30 +58,40 @@ def label_index(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     same_slice = (F.col("column_name") == F.col("start_column")) & (
         F.col("slice") == F.col("start_slice")
     )
-    # At most one row per column and shuffle partition, whatever the data size.
-    placed = placed.join(F.broadcast(starts), same_slice)
+    placed = placed.join(starts, same_slice)
     return placed.select(
         "column_name",
         "label",
         "label_count",
-        (F.col("offset") + F.col("shift")).cast("int").alias("label_index"),
+        (F.col("offset") + F.col("shift")).alias("label_index"),
     )
 
 
+INDEX_SCHEMA = "label string, label_index long, column_name string"
+
+
+def write_index(index: DataFrame, folder: str) -> DataFrame:
+    """The index written as a table, one folder per column, and read back."""
+    columns = index.select("label", "label_index", "column_name")
+    columns.write.mode("overwrite").partitionBy("column_name").parquet(folder)
+    return index.sparkSession.read.schema(INDEX_SCHEMA).parquet(folder)
+
+
 def label_encode(
     df: DataFrame, columns: list[str] | None = None, index: DataFrame | None = None
 ) -> DataFrame:
     """Add ``<column>_indexed``; unseen and null labels get the label count.
 
-    The index is written first, so each lookup is planned from its real size:
+    ``index`` is a written one (``write_index``); without it the labels of ``df``
+    are indexed and written first. So each lookup is planned from its real size:
     broadcast while small, else a sort-merge join with skew splitting.
     """
-    spark = df.sparkSession
-    columns = columns or schemas.TEXT_COLUMNS
-    index = label_index(df, columns) if index is None else index
-    folder = shared_folder(spark)
-    index.write.partitionBy("column_name").parquet(folder)
-    written = spark.read.schema("label string, label_index int, column_name string").parquet(folder)
+    columns = schemas.TEXT_COLUMNS if columns is None else columns
+    if not columns:
+        return df
+    written = index
+    if written is None:
+        written = write_index(label_index(df, columns), shared_folder(df.sparkSession))
     known = {
         r.column_name: r.labels
         for r in written.groupBy("column_name").agg(F.count(F.lit(1)).alias("labels")).collect()

@@ -1,7 +1,9 @@
 """Training and applying the delay model.
 
-Encoders, gap filling and the forest are one ``PipelineModel``, saved and
-loaded as a unit, so label numbers always match the model trained on them.
+Text columns enter by their label numbers. The labels are an index table stored
+beside the model, made from all records of the window, held-out ones included;
+records are encoded by joins with it, so no task or driver holds all labels. Gap
+filling and forest are one ``PipelineModel``.
 
 The expected and scheduled time parts are among the features although the
 delay follows from them; pass ``exclude`` to train without them.
@@ -9,19 +11,22 @@ delay follows from them; pass ``exclude`` to train without them.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopwise import schemas
 from stopwise.functions import whole_minutes
-from stopwise.operators import ranking
+from stopwise.operators import encoding, ranking
+from stopwise.operators.cleaning import restore_names
+from stopwise.operators.correlation import correlated_columns, correlation_pairs
 from stopwise.operators.nulls import drop_empty_rows, empty_columns
-from stopwise.session import shared_folder
+from stopwise.session import exists, remove_folder, shared_folder
 
 # Fixed values.
 LABEL = "Delay"
@@ -36,111 +41,183 @@ REPORT_NAMES = {
     PREDICTION: "Predicted Delay (minutes)",
 }
 
-# A label dictionary is held by every task that encodes, so its size is checked.
-MAX_LABELS = 1_000_000
+_CODE, _FEATURE = "_indexed", "_feature"
+
+
+@dataclass
+class DelayModel:
+    """Gap filling and forest, and the written label index."""
+
+    pipeline: PipelineModel
+    labels: DataFrame
+
+    @property
+    def inputs(self) -> list[str]:
+        """The records' columns that are features."""
+        assembled = next(s for s in self.pipeline.stages if isinstance(s, VectorAssembler)).getInputCols()
+        return [c.removesuffix(_FEATURE).removesuffix(_CODE) for c in assembled]
+
+    @property
+    def text(self) -> list[str]:
+        return [c for c in self.inputs if c in schemas.TEXT_COLUMNS]
 
 
-def snapshot(df: DataFrame) -> DataFrame:
+def snapshot(df: DataFrame, folder: str | None = None) -> DataFrame:
     """A written copy, so that every pass of a run sees the same rows."""
-    folder = shared_folder(df.sparkSession)
+    folder = folder or shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def _draw(seed: int, first: int) -> Column:
+    """A number from 0 to 2^32 that depends on the key only: eight digits of the MD5
+    of seed, recorded parts, and the other parts of the key in millionths."""
+    whole = [F.col(c).cast("string") for c in schemas.RECORDED_PARTS]
+    rest = [c for c in schemas.KEY if c not in schemas.RECORDED_PARTS]
+    parts = [F.floor(F.col(c) * 1_000_000).cast("string") for c in rest]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *whole, *parts))
+    return F.conv(F.substring(digest, first, 8), 16, 10).cast("bigint")
+
+
 def split(df: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Four fifths and one fifth of the rows, by a hash of the key.
 
     Unlike a random split this does not depend on how the rows are spread.
     """
-    fifth = F.pmod(F.xxhash64(F.lit(seed), *schemas.KEY), F.lit(5))
+    fifth = _draw(seed, 1) % 5
     return df.filter(fifth < 4), df.filter(fifth == 4)
 
 
-def _check_label_count(df: DataFrame, columns: list[str]) -> None:
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
-    large = {c: n for c, n in counts.items() if n > MAX_LABELS}
-    if large:
-        raise ValueError(f"too many labels to hold in memory, use label_encode: {large}")
+def _bounded(df: DataFrame, max_rows: int | None, seed: int) -> DataFrame:
+    """About ``max_rows`` rows at most, chosen by a hash of the key."""
+    rows = df.count() if max_rows is not None else 0
+    if max_rows is None or rows <= max_rows:
+        return df
+    return df.filter(_draw(seed, 9) < int((1 << 32) * max_rows / rows))
 
 
-def build_pipeline(
-    columns: list[str], *, trees: int = TREES, max_depth: int = MAX_DEPTH, seed: int = SEED
-) -> Pipeline:
-    """Encoders, plain numeric features, gap filling, assembly and forest.
+def feature_columns(
+    rows: DataFrame, training: DataFrame, *, exclude: tuple[str, ...] = (), select: bool = False
+) -> list[str]:
+    """The columns that become features: those with a value in the training part.
+
+    ``select`` leaves out the later of two columns whose correlation over all
+    ``rows`` is above the threshold, as the analysis lane nulls them out.
+    """
+    unused = {LABEL, *exclude, *empty_columns(training)}
+    if select:
+        order = [c for c in schemas.FEATURE_ORDER if c in rows.columns]
+        pairs = correlation_pairs(rows.select(*order))
+        unused |= {r.column_name for r in correlated_columns(pairs).collect()}
+    return [c for c in rows.columns if c not in unused]
+
+
+def build_preparation(columns: list[str]) -> Pipeline:
+    """Numbers as doubles, gaps filled by means, assembled; text enters by its code.
 
     Label numbers enter as ordinary numbers, not as categories.
     """
+    if not columns:
+        raise ValueError("no feature column is left")
     text = [c for c in columns if c in schemas.TEXT_COLUMNS]
-    indexed = [f"{c}_indexed" for c in text]
-    numeric = [c for c in columns if c not in text and c != LABEL]
-    inputs = numeric + indexed
+    inputs = [c for c in columns if c not in text] + [f"{c}{_CODE}" for c in text]
     plain = [f"{c}_number" for c in inputs]
-    features = [f"{c}_feature" for c in inputs]
+    features = [f"{c}{_FEATURE}" for c in inputs]
     casts = ", ".join(f"CAST({c} AS DOUBLE) AS {p}" for c, p in zip(inputs, plain))
     return Pipeline(
         stages=[
-            StringIndexer(inputCols=text, outputCols=indexed, handleInvalid="keep"),
             SQLTransformer(statement=f"SELECT *, {casts} FROM __THIS__"),
             Imputer(strategy="mean", inputCols=plain, outputCols=features),
             VectorAssembler(inputCols=features, outputCol="features"),
-            RandomForestRegressor(
-                featuresCol="features",
-                labelCol=LABEL,
-                predictionCol=PREDICTION,
-                numTrees=trees,
-                maxDepth=max_depth,
-                featureSubsetStrategy="all",
-                seed=seed,
-                # Fewer passes over the rows (measured: 18 down to 13 seconds).
-                maxMemoryInMB=1024,
-                cacheNodeIds=True,
-            ),
         ]
     )
 
 
+def build_pipeline(
+    columns: list[str], *, trees: int = TREES, max_depth: int = MAX_DEPTH, seed: int = SEED
+) -> Pipeline:
+    """Preparation and forest."""
+    forest = RandomForestRegressor(
+        featuresCol="features",
+        labelCol=LABEL,
+        predictionCol=PREDICTION,
+        numTrees=trees,
+        maxDepth=max_depth,
+        featureSubsetStrategy="all",
+        seed=seed,
+        # Fewer passes over the rows (measured: 18 down to 13 seconds).
+        maxMemoryInMB=1024,
+        cacheNodeIds=True,
+    )
+    return Pipeline(stages=[*build_preparation(columns).getStages(), forest])
+
+
 def train(
-    records: DataFrame, path: str, *, exclude: tuple[str, ...] = (), **settings: int
-) -> PipelineModel:
-    """Fit on the training part of a snapshot of ``records`` and save the model."""
-    rows = snapshot(drop_empty_rows(records).filter(F.col(LABEL).isNotNull()))
-    unused = {*exclude, *empty_columns(rows)}
-    columns = [c for c in rows.columns if c not in unused]
-    _check_label_count(rows, [c for c in columns if c in schemas.TEXT_COLUMNS])
-    training, _ = split(rows)
+    records: DataFrame,
+    path: str,
+    *,
+    exclude: tuple[str, ...] = (),
+    select: bool = False,
+    max_rows: int | None = None,
+    stored: bool = False,
+    **settings: int,
+) -> DelayModel:
+    """Fit on the training part of ``records`` and save the model.
+
+    The records are written down first, unless they are a ``stored`` table. An
+    older model goes before its labels are replaced, so the two always match.
+    ``max_rows`` bounds the rows the forest sees; labels, selection and split cover
+    all rows. Without it all of the training part is used.
+    """
+    spark = records.sparkSession
+    folder = shared_folder(spark)
+    rows = drop_empty_rows(restore_names(records)).filter(F.col(LABEL).isNotNull())
+    if not stored:
+        rows = snapshot(rows, folder)
+    remove_folder(spark, f"{path}/pipeline")
+    text = [c for c in rows.columns if c in schemas.TEXT_COLUMNS]
+    if text:
+        labels = encoding.write_index(encoding.label_index(rows, text), f"{path}/labels")
+    else:
+        labels = spark.createDataFrame([], encoding.INDEX_SCHEMA)
+        labels = encoding.write_index(labels, f"{path}/labels")
+    training = _bounded(split(rows)[0], max_rows, SEED)
+    columns = feature_columns(rows, training, exclude=exclude, select=select)
+    encoded = encoding.label_encode(training, [c for c in columns if c in text], labels)
     # Every level of the trees passes over the rows, so spread them evenly once.
     # In a fixed order the same rows give the same forest.
-    spread = training.repartition(*schemas.KEY).sortWithinPartitions(*schemas.KEY)
-    model = build_pipeline(columns, **settings).fit(spread.select(*columns))
-    model.write().overwrite().save(path)
-    return model
+    spread = encoded.repartition(*schemas.KEY).sortWithinPartitions(*schemas.KEY)
+    pipeline = build_pipeline(columns, **settings).fit(spread)
+    pipeline.write().overwrite().save(f"{path}/pipeline")
+    if not stored:
+        remove_folder(spark, folder)
+    return DelayModel(pipeline, labels)
 
 
-def load(spark: SparkSession, path: str) -> PipelineModel | None:
+def load(spark: SparkSession, path: str) -> DelayModel | None:
     """The saved model, or None if there is none yet."""
-    try:
-        spark.read.text(f"{path}/metadata")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    return PipelineModel.load(path)
+    if not exists(spark, f"{path}/pipeline/metadata"):
+        return None
+    labels = spark.read.schema(encoding.INDEX_SCHEMA).parquet(f"{path}/labels")
+    return DelayModel(PipelineModel.load(f"{path}/pipeline"), labels)
 
 
-def train_or_load(records: DataFrame, path: str, **settings: int) -> PipelineModel:
+def train_or_load(records: DataFrame, path: str, **settings: int) -> DelayModel:
     """The saved model; if there is none, one trained on ``records``."""
     model = load(records.sparkSession, path)
     return train(records, path, **settings) if model is None else model
 
 
-def predict(model: PipelineModel, records: DataFrame) -> DataFrame:
+def predict(model: DelayModel, records: DataFrame) -> DataFrame:
     """``records`` with the predicted delay in seconds."""
-    return model.transform(drop_empty_rows(records)).select(*records.columns, PREDICTION)
+    rows = drop_empty_rows(restore_names(records))
+    encoded = encoding.label_encode(rows, model.text, model.labels)
+    return model.pipeline.transform(encoded).select(*rows.columns, PREDICTION)
 
 
-def holdout_error(model: PipelineModel, records: DataFrame, metric: str = "rmse") -> float:
+def holdout_error(model: DelayModel, records: DataFrame, metric: str = "rmse") -> float:
     """Error on the held-out fifth."""
-    _, held_out = split(records)
+    _, held_out = split(restore_names(records))
     evaluator = RegressionEvaluator(labelCol=LABEL, predictionCol=PREDICTION, metricName=metric)
     return evaluator.evaluate(predict(model, held_out))
 
@@ -154,10 +231,10 @@ def report(scored: DataFrame, prediction: str = PREDICTION) -> DataFrame:
 def first_report(records: DataFrame, path: str, **settings: int) -> DataFrame:
     """Train on the newest window or load the model; report the window's last 5."""
     window = snapshot(ranking.latest(records, WINDOW))
-    model = train_or_load(window, path, **settings)
+    model = train_or_load(window, path, stored=True, **settings)
     return report(predict(model, ranking.oldest_of_latest(window, WINDOW)))
 
 
-def rescore_latest(model: PipelineModel, records: DataFrame, n: int = 5) -> DataFrame:
+def rescore_latest(model: DelayModel, records: DataFrame, n: int = 5) -> DataFrame:
     """Report on the newest ``n`` records."""
     return report(predict(model, ranking.latest(records, n)))

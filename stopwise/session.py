@@ -30,6 +30,32 @@ def build_session(app: str = "stopwise", master: str | None = None, **settings:
     return builder.getOrCreate()
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path`` and the path as it takes it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, hadoop = file_system(spark, path)
+    return files.exists(hadoop)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in ``path``, without hidden ones; none if it is missing."""
+    files, hadoop = file_system(spark, path)
+    if not files.exists(hadoop):
+        return []
+    found = [s.getPath().getName() for s in files.listStatus(hadoop) if s.isDirectory()]
+    return [n for n in found if not n.startswith(("_", "."))]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    files, hadoop = file_system(spark, path)
+    files.delete(hadoop, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder all executors can reach, for written intermediate tables.
 

@@ -1,7 +1,9 @@
 import pytest
 from records import table_rows
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
+from stopwise import schemas
 from stopwise.plans import delay_model as dm
 
 
@@ -47,7 +49,7 @@ def test_saved_model_predicts_the_same(spark, records, trained):
     path, model = trained
     loaded = dm.load(spark, path)
     assert _predictions(loaded, records) == _predictions(model, records)
-    assert dm.train_or_load(records.limit(0), path).uid == loaded.uid
+    assert dm.train_or_load(records.limit(0), path).pipeline.uid == loaded.pipeline.uid
 
 
 def test_the_same_rows_give_the_same_model(records, trained, tmp_path):
@@ -63,13 +65,12 @@ def test_predictions_lie_within_the_labels(records, trained):
 
 
 def test_forest_settings(trained):
-    forest = trained[1].stages[-1]
+    forest = trained[1].pipeline.stages[-1]
     assert forest.getOrDefault("seed") == 16
     assert forest.getOrDefault("featureSubsetStrategy") == "all"
     assert forest.getNumTrees == 10
-    inputs = trained[1].stages[-2].getInputCols()
-    assert "VehicleRef_indexed_feature" in inputs
-    assert not any("ExpectedArrivalTime_second" in c or "Delay" in c for c in inputs)
+    assert "VehicleRef" in trained[1].text
+    assert not {"ExpectedArrivalTime_second", "Delay"} & set(trained[1].inputs)
 
 
 def test_unseen_and_missing_labels_score(records, trained):
@@ -82,15 +83,78 @@ def test_empty_rows_are_not_scored(records, trained):
     assert dm.predict(trained[1], records.limit(2).union(empty)).count() == 2
 
 
-def test_too_many_labels_are_refused(records, tmp_path, monkeypatch):
-    monkeypatch.setattr(dm, "MAX_LABELS", 3)
-    with pytest.raises(ValueError, match="VehicleRef"):
-        dm.train(records, str(tmp_path / "m"))
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_labels_beyond_a_broadcast_train_and_score_alike(spark, records, tmp_path, broadcast):
+    many = records.withColumn("VehicleRef", F.concat(F.lit("V"), F.hash(*records.columns).cast("string")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        model = dm.train(many, str(tmp_path / "m"), trees=2)
+        assert model.labels.filter("column_name = 'VehicleRef'").count() == many.select("VehicleRef").distinct().count()
+        assert dm.predict(model, many).filter(F.col(dm.PREDICTION).isNotNull()).count() == 150
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_labels_are_those_of_the_library_over_all_records(records, trained):
+    indexed = StringIndexer(inputCol="VehicleRef", outputCol="i").fit(records).labels
+    found = trained[1].labels.filter("column_name = 'VehicleRef'").collect()
+    assert {r.label: r.label_index for r in found} == {v: i for i, v in enumerate(indexed)}
+
+
+def test_folded_names_train_and_score_the_same(records, trained, tmp_path):
+    folded = records.toDF(*[c.lower() for c in records.columns])
+    model = dm.train(folded, str(tmp_path / "m"), trees=10)
+    assert set(model.inputs) == set(trained[1].inputs)
+    assert _predictions(model, folded) == _predictions(trained[1], records)
+
+
+def test_a_column_filled_in_the_held_out_part_only(records, tmp_path):
+    _, held_out = dm.split(records)
+    key = ["RecordedAtTime_hour", "RecordedAtTime_minute"]
+    marked = held_out.select(*key, F.lit(5).alias("mark"))
+    sparse = records.join(marked, key, "left").withColumn("DirectionRef", F.col("mark")).drop("mark")
+    model = dm.train(sparse.select(*records.columns), str(tmp_path / "m"), trees=1)
+    assert "DirectionRef" not in model.inputs
+
+
+def test_without_text_columns(records, tmp_path):
+    model = dm.train(records, str(tmp_path / "m"), exclude=tuple(schemas.TEXT_COLUMNS), trees=1)
+    assert model.text == [] and len(_predictions(model, records)) == 150
+    with pytest.raises(ValueError, match="no feature"):
+        dm.train(records, str(tmp_path / "n"), exclude=tuple(schemas.TABLE_ORDER))
+
+
+def test_selected_columns_are_no_features(records, tmp_path):
+    # The delay follows from the distance, so that comes earlier and stays.
+    twin = records.withColumn("DestinationCoordinates", F.col("OriginCoordinates") + F.col("DistanceFromStop") * 2.0)
+    model = dm.train(twin, str(tmp_path / "m"), select=True, trees=1)
+    assert "DestinationCoordinates" not in model.inputs and "DistanceFromStop" in model.inputs
+    assert "DestinationCoordinates" in dm.train(twin, str(tmp_path / "n"), trees=1).inputs
+
+
+def test_bounded_rows_leave_labels_and_split_whole(records, tmp_path):
+    few = dm._bounded(records, 40, dm.SEED).count()
+    assert 20 <= few <= 65 and dm._bounded(records, 150, dm.SEED).count() == 150
+    model = dm.train(records, str(tmp_path / "m"), max_rows=40, trees=1)
+    assert model.labels.filter("column_name = 'VehicleRef'").count() == 7
+
+
+def test_training_leaves_no_snapshot(records, tmp_path, monkeypatch):
+    made = []
+
+    def folder(spark):
+        made.append(tmp_path / f"shared-{len(made)}")
+        return str(made[-1])
+
+    monkeypatch.setattr(dm, "shared_folder", folder)
+    dm.train(records, str(tmp_path / "m"), trees=1)
+    assert len(made) == 1 and not made[0].exists()
 
 
 def test_excluded_columns_are_no_features(records, tmp_path):
     model = dm.train(records, str(tmp_path / "m"), exclude=("DistanceFromStop",), trees=1)
-    assert not any("DistanceFromStop" in c for c in model.stages[-2].getInputCols())
+    assert "DistanceFromStop" not in model.inputs
 
 
 def test_reports(spark, records, trained, tmp_path):
