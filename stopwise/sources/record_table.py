@@ -1,28 +1,29 @@
 """The stored table of processed records: Parquet, partitioned by recorded date.
 
 Below each date the rows lie by the batch that wrote them, so a batch that is
-run again replaces exactly its own rows.
+run again replaces exactly its own rows. Folders of batches that can no longer
+run again are brought together by ``compact``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+import uuid
+from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stopwise import schemas
 from stopwise.operators.ranking import latest
+from stopwise.session import exists, file_system, folders, remove_folder
 
 BATCH = "ingest_batch"
 _PARTITIONS = [*schemas.DATE_PARTITION, BATCH]
-
-# Beyond this many dates their folders are no longer opened one by one; the
-# whole table is read instead, which gives the same rows.
-_MAX_DATE_FOLDERS = 366
+_COMPACTED = "compacted-"
+_PENDING = "_compaction"
 
 
 def _stored_schema() -> T.StructType:
@@ -50,57 +51,45 @@ def read_records(spark: SparkSession, table: str) -> DataFrame:
     return (_empty(spark) if found is None else found).select(*schemas.TABLE_ORDER)
 
 
-def _existing(spark: SparkSession, table: str, folders: list[str]) -> list[str]:
-    """The folders that exist; a single look if all do."""
-    if not folders or _read(spark, table, folders) is not None:
-        return folders
-    if len(folders) == 1:
-        return []
-    middle = len(folders) // 2
-    return _existing(spark, table, folders[:middle]) + _existing(spark, table, folders[middle:])
-
-
 def _date_folder(table: str, date: tuple) -> str:
     parts = [f"{c}={v}" for c, v in zip(schemas.DATE_PARTITION, date)]
     return "/".join([table.rstrip("/"), *parts])
 
 
-def _is_date(date: tuple) -> Column:
-    y, m, d = (F.col(c) == v for c, v in zip(schemas.DATE_PARTITION, date))
-    return y & m & d
-
-
 def stored_for(rows: DataFrame, table: str, batch: str) -> DataFrame:
-    """Stored rows of other batches on the dates that occur in ``rows``.
+    """Stored rows of other batches that can share a key with ``rows``.
 
-    The date is part of the key, so no other stored row can share a key with
-    ``rows``. Only the folders of these dates are listed and read.
+    Date and hour are part of the key, so only the folders of the dates that occur
+    in ``rows`` are listed, and of their files only what lies between the batch's
+    first and last hour is read. There are as many dates as the calendar has.
     """
     spark = rows.sparkSession
-    if not _existing(spark, table, [table]):
+    if not exists(spark, table):
         return _empty(spark)
-    dates = rows.select(*schemas.DATE_PARTITION).dropna().distinct()
-    dates = [tuple(r) for r in dates.limit(_MAX_DATE_FOLDERS + 1).collect()]
-    if len(dates) > _MAX_DATE_FOLDERS:
-        folders = [table]
-    else:
-        folders = _existing(spark, table, [_date_folder(table, d) for d in dates])
-    found = _read(spark, table, folders) if folders else None
+    hour = schemas.RECORDED_PARTS[3]
+    dates = rows.groupBy(*schemas.DATE_PARTITION).agg(F.min(hour).alias("first"), F.max(hour).alias("last"))
+    dates = dates.dropna().collect()
+    paths = [_date_folder(table, tuple(d)[:3]) for d in dates]
+    paths = [p for p in paths if exists(spark, p)]
+    found = _read(spark, table, paths) if paths else None
     if found is None:
         return _empty(spark)
-    return found.filter(F.col(BATCH) != batch)
+    hours = F.col(hour).between(min(d["first"] for d in dates), max(d["last"] for d in dates))
+    return found.filter(hours & (F.col(BATCH) != batch))
 
 
 def write_batch(rows: DataFrame, table: str, batch: str) -> None:
     """Store a batch's rows, replacing what an earlier try of it left behind.
 
     Rows are brought together by date, so that a date gets few files whatever
-    the number of tasks; a large date is split over several tasks.
+    the number of tasks; a large date is split over several tasks. Files are in the
+    order of time, so a read of some hours skips the others.
     """
     (
         rows.select(*schemas.TABLE_ORDER)
         .hint("rebalance", *schemas.DATE_PARTITION)
         .withColumn(BATCH, F.lit(batch))
+        .sortWithinPartitions(*_PARTITIONS, *schemas.RECORDED_PARTS[3:])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*_PARTITIONS)
@@ -108,23 +97,72 @@ def write_batch(rows: DataFrame, table: str, batch: str) -> None:
     )
 
 
+def _dates_newest_first(spark: SparkSession, table: str) -> Iterator[str]:
+    """The date folders of the table from the newest on, looked up as they are needed."""
+
+    def below(path: str, names: list[str]) -> Iterator[str]:
+        if not names:
+            yield path
+            return
+        found = [f for f in folders(spark, path) if f.startswith(f"{names[0]}=") and f.split("=")[1].isdigit()]
+        for folder in sorted(found, key=lambda f: int(f.split("=")[1]), reverse=True):
+            yield from below(f"{path}/{folder}", names[1:])
+
+    yield from below(table.rstrip("/"), schemas.DATE_PARTITION)
+
+
 def latest_records(spark: SparkSession, table: str, n: int = 100) -> DataFrame:
     """The newest ``n`` stored records, reading only the newest dates' files.
 
-    The dates come from a count by partition, which reads no column data. Every
-    date holds at least one row, so at most ``n`` dates are looked at.
+    The date folders are walked from the newest on; their rows are counted from the
+    files' footers, twice as many dates each time, until there are enough.
     """
-    found = _read(spark, table, [table])
+    dates, wanted, rows, step = _dates_newest_first(spark, table), [], 0, 1
+    while rows < n and (some := list(islice(dates, step))):
+        found = _read(spark, table, some)
+        rows += 0 if found is None else found.count()
+        wanted += some
+        step *= 2
+    found = _read(spark, table, wanted) if wanted else None
     if found is None:
         return _empty(spark).select(*schemas.TABLE_ORDER)
-    newest = [F.desc(c) for c in schemas.DATE_PARTITION]
-    by_date = found.groupBy(*schemas.DATE_PARTITION).agg(F.count(F.lit(1)).alias("records"))
-    wanted, rows = [], 0
-    for date in by_date.orderBy(*newest).limit(n).collect():
-        if rows >= n:
-            break
-        wanted.append(tuple(date[c] for c in schemas.DATE_PARTITION))
-        rows += date["records"]
-    if wanted:
-        found = found.filter(reduce(or_, [_is_date(d) for d in wanted]))
     return latest(found.select(*schemas.TABLE_ORDER), n)
+
+
+def compact(spark: SparkSession, table: str, date: tuple[int, int, int], open_batches: tuple[str, ...] = ()) -> None:
+    """Bring the batch folders of a date together in one.
+
+    Call it between the batches of the one writer, with the ``open_batches`` that may
+    still run again (a stream's newest one): their folders stay as they are, so a
+    retry replaces exactly its rows. What was begun and broke off is finished by
+    the next call: the new files become visible only after the old ones are gone,
+    and until then stand aside, complete.
+    """
+    folder = _date_folder(table, date)
+    files, pending = file_system(spark, f"{folder}/{_PENDING}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    ready = path(f"{folder}/{_PENDING}/ready")
+    if not files.exists(ready):
+        names = [f.split("=", 1)[1] for f in folders(spark, folder) if f.startswith(f"{BATCH}=")]
+        closed = [b for b in names if b not in open_batches]
+        if len(closed) < 2:
+            return
+        remove_folder(spark, f"{folder}/{_PENDING}")
+        found = spark.read.schema(_file_schema()).parquet(*[f"{folder}/{BATCH}={b}" for b in closed])
+        order = schemas.RECORDED_PARTS[3:]
+        sorted_rows = found.repartitionByRange(*order).sortWithinPartitions(*order)
+        sorted_rows.write.parquet(f"{folder}/{_PENDING}/data")
+        replaced = spark.createDataFrame([(b,) for b in closed], "batch string")
+        replaced.coalesce(1).write.parquet(f"{folder}/{_PENDING}/batches")
+        files.mkdirs(ready)
+    for row in spark.read.schema("batch string").parquet(f"{folder}/{_PENDING}/batches").collect():
+        remove_folder(spark, f"{folder}/{BATCH}={row['batch']}")
+    data = path(f"{folder}/{_PENDING}/data")
+    if files.exists(data):
+        files.rename(data, path(f"{folder}/{BATCH}={_COMPACTED}{uuid.uuid4().hex}"))
+    files.delete(pending, True)
+
+
+def _file_schema() -> T.StructType:
+    """The columns that are in the files, not in the folders' names."""
+    return T.StructType([f for f in _stored_schema().fields if f.name not in _PARTITIONS])

@@ -16,7 +16,6 @@ from stopwise import schemas
 from stopwise.operators import dedup
 from stopwise.operators.readiness import is_ready
 from stopwise.plans.lanes import ingest_lane, table_rows
-from stopwise.session import shared_folder
 from stopwise.sources import record_table
 from stopwise.sources.messages import decode_messages, is_undecodable
 
@@ -94,7 +93,8 @@ def start_ingest(
     again at 0 there, and equal names would replace each other's rows.
     """
 
-    staging = shared_folder(messages.sparkSession)
+    # Beside the checkpoint, so that a restart uses the same folder.
+    staging = f"{checkpoint.rstrip('/')}-staging"
 
     def handle(batch_messages: DataFrame, batch_id: int) -> None:
         store_messages(
