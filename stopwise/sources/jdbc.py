@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from stopwise import schemas
+from stopwise.operators.cleaning import restore_names
+from stopwise.sources import record_table
 
 _SQL_TYPES = {
     T.IntegerType: "INTEGER",
     T.DoubleType: "DOUBLE PRECISION",
     T.StringType: f"VARCHAR({schemas.MAX_TEXT_LENGTH})",
 }
-_MAX_DATES = 366
 _SPARK_TYPES = {T.IntegerType: "INT", T.DoubleType: "DOUBLE", T.StringType: "STRING"}
 
 
@@ -25,12 +26,14 @@ def create_table_sql(table: str = schemas.DEFAULT_TABLE) -> str:
     return f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(columns)})"
 
 
-def create_spark_table_sql(table: str = schemas.DEFAULT_TABLE) -> str:
-    """DDL for the same table kept by Spark as Parquet, partitioned by date."""
+def create_spark_table_sql(location: str, table: str = schemas.DEFAULT_TABLE) -> str:
+    """DDL that makes the stored table at ``location`` (``record_table``) known by
+    name; ``MSCK REPAIR TABLE`` then finds its folders."""
     columns = [f"{f.name} {_SPARK_TYPES[type(f.dataType)]}" for f in schemas.table_schema().fields]
+    partitions = [*schemas.DATE_PARTITION, record_table.BATCH]
     return (
-        f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(columns)})"
-        f" USING parquet PARTITIONED BY ({', '.join(schemas.DATE_PARTITION)})"
+        f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(columns)}, {record_table.BATCH} STRING)"
+        f" USING parquet PARTITIONED BY ({', '.join(partitions)}) LOCATION '{location}'"
     )
 
 
@@ -54,11 +57,15 @@ def read_table(
     predicates: list[str] | None = None,
     hour_slices: int | None = None,
 ) -> DataFrame:
-    """Scan the table in parallel: by ``predicates``, or in ranges of the hour."""
+    """Scan the table in parallel: by ``predicates``, or in ranges of the hour.
+
+    Columns come in table order and spelled as here, whatever the database makes of
+    unquoted names.
+    """
     if predicates is not None:
-        return spark.read.jdbc(url, table, predicates=predicates, properties=properties)
-    if hour_slices is not None:
-        return spark.read.jdbc(
+        read = spark.read.jdbc(url, table, predicates=predicates, properties=properties)
+    elif hour_slices is not None:
+        read = spark.read.jdbc(
             url,
             table,
             column="RecordedAtTime_hour",
@@ -67,12 +74,16 @@ def read_table(
             numPartitions=hour_slices,
             properties=properties,
         )
-    return spark.read.jdbc(url, table, properties=properties)
+    else:
+        read = spark.read.jdbc(url, table, properties=properties)
+    return restore_names(read).select(*schemas.TABLE_ORDER)
 
 
 def latest_query(table: str = schemas.DEFAULT_TABLE, n: int = 100) -> str:
-    """Subquery for the newest ``n`` rows, so the database does the top-n."""
-    newest = ", ".join(f"{c} DESC" for c in schemas.RECORDED_PARTS)
+    """Subquery for the newest ``n`` rows, so the database does the top-n; ties go by
+    the rest of the key."""
+    ties = [c for c in schemas.KEY if c not in schemas.RECORDED_PARTS]
+    newest = ", ".join([f"{c} DESC" for c in schemas.RECORDED_PARTS] + [f"{c} ASC" for c in ties])
     return f"(SELECT * FROM {table} ORDER BY {newest} LIMIT {int(n)}) newest"
 
 
@@ -84,7 +95,7 @@ def read_latest(
     *,
     properties: dict[str, str],
 ) -> DataFrame:
-    return spark.read.jdbc(url, latest_query(table, n), properties=properties)
+    return read_table(spark, url, latest_query(table, n), properties=properties)
 
 
 def missing_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
@@ -92,20 +103,27 @@ def missing_rows(rows: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.join(stored.select(*schemas.KEY), schemas.KEY, "left_anti")
 
 
+def date_ranges(dates: list[tuple[int, int, int]], parts: int) -> list[str]:
+    """At most ``parts`` predicates that together hold all ``dates``: ranges of
+    neighbouring dates, as row comparisons a database can answer from the key."""
+    ordered = sorted(set(dates))
+    names = ", ".join(schemas.DATE_PARTITION)
+    size = max(1, -(-len(ordered) // parts))
+    found = []
+    for start in range(0, len(ordered), size):
+        some = ordered[start : start + size]
+        first, last = (", ".join(str(int(v)) for v in d) for d in (some[0], some[-1]))
+        found.append(f"({names}) >= ({first}) AND ({names}) <= ({last})")
+    return found
+
+
 def stored_for(
     rows: DataFrame, url: str, table: str, *, properties: dict[str, str], connections: int
 ) -> DataFrame:
-    """Stored rows on the dates of ``rows``, one read task per date.
-
-    With more than ``_MAX_DATES`` dates the whole table is read in hour slices
-    instead, which serves the same purpose.
-    """
-    dates = rows.select(*schemas.DATE_PARTITION).distinct().limit(_MAX_DATES + 1).collect()
-    spark = rows.sparkSession
-    if len(dates) > _MAX_DATES:
-        return read_table(spark, url, table, properties=properties, hour_slices=connections)
-    predicates = [date_predicate(*d) for d in dates] or ["1 = 0"]
-    return read_table(spark, url, table, properties=properties, predicates=predicates)
+    """Stored rows on the dates of ``rows``, in ``connections`` reads at most."""
+    dates = [tuple(d) for d in rows.select(*schemas.DATE_PARTITION).dropna().distinct().collect()]
+    predicates = date_ranges(dates, connections) or ["1 = 0"]
+    return read_table(rows.sparkSession, url, table, properties=properties, predicates=predicates)
 
 
 def append_rows(
@@ -120,9 +138,10 @@ def append_rows(
 
     Each write task is one transaction, in which a single duplicate would roll
     back all rows; the rows are therefore compared with the stored keys of
-    their dates first. At most ``connections`` tasks write at a time.
+    their dates first. At most ``connections`` tasks read or write at a time; the
+    comparison itself runs on all executors.
     """
     rows = rows.select(*schemas.TABLE_ORDER)
     stored = stored_for(rows, url, table, properties=properties, connections=connections)
-    missing = missing_rows(rows, stored).coalesce(connections)
+    missing = missing_rows(rows, stored).repartition(connections)
     missing.write.jdbc(url, table, mode="append", properties=properties)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stopwise import schemas
 from stopwise.operators import dedup
+from stopwise.session import remove_folder
 from stopwise.sources import jdbc, record_table
 
 
@@ -176,12 +177,65 @@ def test_history_is_read_by_date_and_without_the_own_batch(spark, tmp_path):
     assert record_table.stored_for(rows, table, "b-2").count() == 2
 
 
-def test_history_with_many_dates_reads_the_whole_table(spark, tmp_path, monkeypatch):
+def test_history_lists_only_the_dates_of_the_batch(spark, tmp_path):
     table = str(tmp_path / "t")
-    rows = table_rows(spark, *[{"RecordedAtTime_day": d} for d in range(1, 6)])
+    rows = table_rows(spark, *[{"RecordedAtTime_day": d, "RecordedAtTime_month": m} for d in range(1, 29) for m in (1, 2)])
     record_table.write_batch(rows, table, "b-0")
-    monkeypatch.setattr(record_table, "_MAX_DATE_FOLDERS", 2)
-    assert record_table.stored_for(rows, table, "b-1").count() == 5
+    stored = record_table.stored_for(table_rows(spark, {"RecordedAtTime_day": 3}), table, "b-1")
+    assert stored.count() == 1
+    files = stored._jdf.queryExecution().executedPlan().toString()
+    assert "Location: InMemoryFileIndex(1 paths)" in files and len(stored.inputFiles()) == 1
+    assert record_table.stored_for(rows, table, "b-1").count() == 56
+
+
+def test_history_reads_only_the_hours_of_the_batch(spark, tmp_path):
+    table = str(tmp_path / "t")
+    record_table.write_batch(table_rows(spark, *[{"RecordedAtTime_hour": h} for h in range(24)]), table, "b-0")
+    stored = record_table.stored_for(table_rows(spark, {"RecordedAtTime_hour": 7}, {"RecordedAtTime_hour": 8}), table, "b-1")
+    assert sorted(r.RecordedAtTime_hour for r in stored.collect()) == [7, 8]
+    plan = stored._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= 7" in plan and "<= 8" in plan
+
+
+def _folders(table):
+    return sorted(p.name for p in table.glob("*/*/*/*") if p.is_dir())
+
+
+def test_compaction_keeps_rows_and_retries(spark, tmp_path):
+    table = tmp_path / "t"
+    for b in range(4):
+        record_table.write_batch(table_rows(spark, {"Delay": float(b)}, {"Delay": b + 0.5}), str(table), f"b-{b}")
+    before = Counter(tuple(r) for r in record_table.read_records(spark, str(table)).collect())
+    date = tuple(table_rows(spark, {}).select(*schemas.DATE_PARTITION).first())
+    record_table.compact(spark, str(table), date, open_batches=("b-3",))
+    assert Counter(tuple(r) for r in record_table.read_records(spark, str(table)).collect()) == before
+    names = _folders(table)
+    assert len(names) == 2 and "ingest_batch=b-3" in names
+    # The open batch may still run again.
+    record_table.write_batch(table_rows(spark, {"Delay": 3.0}, {"Delay": 3.5}), str(table), "b-3")
+    assert Counter(tuple(r) for r in record_table.read_records(spark, str(table)).collect()) == before
+    record_table.compact(spark, str(table), date, open_batches=("b-3",))
+    assert _folders(table) == names
+
+
+def test_compaction_that_broke_off_is_finished(spark, tmp_path, monkeypatch):
+    table = tmp_path / "t"
+    for b in range(3):
+        record_table.write_batch(table_rows(spark, {"Delay": float(b)}), str(table), f"b-{b}")
+    date = tuple(table_rows(spark, {}).select(*schemas.DATE_PARTITION).first())
+
+    def broken(spark, path):
+        if path.endswith("b-1"):
+            raise OSError("lost")
+        remove_folder(spark, path)
+
+    monkeypatch.setattr(record_table, "remove_folder", broken)
+    with pytest.raises(OSError):
+        record_table.compact(spark, str(table), date)
+    monkeypatch.undo()
+    record_table.compact(spark, str(table), date)
+    assert len(_folders(table)) == 1
+    assert sorted(r.Delay for r in record_table.read_records(spark, str(table)).collect()) == [0.0, 1.0, 2.0]
 
 
 def test_latest_records_open_only_the_newest_dates(spark, tmp_path):
@@ -193,7 +247,7 @@ def test_latest_records_open_only_the_newest_dates(spark, tmp_path):
     got = [(r.RecordedAtTime_day, r.RecordedAtTime_hour) for r in newest.collect()]
     assert got == [(7, 2), (7, 1), (6, 2)]
     plan = newest._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "TakeOrderedAndProject" in plan
+    assert "InMemoryFileIndex(3 paths)" in plan and "TakeOrderedAndProject" in plan
 
 
 def test_missing_rows(spark):
@@ -218,11 +272,30 @@ def test_jdbc_append_skips_what_an_earlier_try_stored(spark, monkeypatch):
     monkeypatch.setattr(DataFrameWriter, "jdbc", write)
     rows = table_rows(spark, *[{"RecordedAtTime_day": d} for d in (1, 2, 3)])
     jdbc.append_rows(rows, "jdbc:none", "t", properties={})
-    assert sorted(asked[0]) == [jdbc.date_predicate(1, 1, d) for d in (1, 2, 3)]
+    assert asked[0] == jdbc.date_ranges([(1, 1, d) for d in (1, 2, 3)], 8) and len(asked[0]) == 3
     assert [(t, m, sorted(days)) for t, m, days in written] == [("t", "append", [1, 3])]
-    monkeypatch.setattr(jdbc, "_MAX_DATES", 2)
-    jdbc.append_rows(rows, "jdbc:none", "t", properties={}, connections=4)
-    assert asked[1] == 4 and sorted(written[1][2]) == [1, 3]
+    jdbc.append_rows(rows, "jdbc:none", "t", properties={}, connections=2)
+    assert len(asked[1]) == 2 and sorted(written[1][2]) == [1, 3]
+
+
+def test_jdbc_reads_restore_folded_names(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    folded = table_rows(spark, {})
+    folded = folded.toDF(*[c.lower() for c in folded.columns])
+    monkeypatch.setattr(DataFrameReader, "jdbc", lambda *a, **k: folded)
+    assert jdbc.read_table(spark, "jdbc:none", properties={}).columns == schemas.TABLE_ORDER
+    assert jdbc.read_latest(spark, "jdbc:none", properties={}).columns == schemas.TABLE_ORDER
+
+
+def test_jdbc_date_ranges():
+    dates = [(2024, 1, 31), (2023, 12, 31), (2024, 2, 1), (2024, 1, 31)]
+    names = "(RecordedAtTime_year, RecordedAtTime_month, RecordedAtTime_day)"
+    assert jdbc.date_ranges(dates, 2) == [
+        f"{names} >= (2023, 12, 31) AND {names} <= (2024, 1, 31)",
+        f"{names} >= (2024, 2, 1) AND {names} <= (2024, 2, 1)",
+    ]
+    assert jdbc.date_ranges([], 3) == [] and len(jdbc.date_ranges(dates, 9)) == 3
 
 
 def test_jdbc_sql():
@@ -238,15 +311,18 @@ def test_jdbc_sql():
     assert predicates[1] == (
         "RecordedAtTime_year = 2024 AND RecordedAtTime_month = 2 AND RecordedAtTime_day = 29"
     )
-    assert jdbc.latest_query("t", 5).endswith("RecordedAtTime_second DESC LIMIT 5) newest")
+    assert "RecordedAtTime_second DESC, OriginCoordinates ASC" in jdbc.latest_query("t", 5)
+    assert jdbc.latest_query("t", 5).endswith("Delay ASC LIMIT 5) newest")
 
 
-def test_spark_table_ddl(spark):
-    spark.sql(jdbc.create_spark_table_sql("stopwise_test"))
+def test_spark_table_ddl_fits_what_is_written(spark, tmp_path):
+    record_table.write_batch(table_rows(spark, {}, {"RecordedAtTime_day": 5}), str(tmp_path / "t"), "b-0")
+    spark.sql(jdbc.create_spark_table_sql(str(tmp_path / "t"), "stopwise_test"))
     try:
-        table = spark.table("stopwise_test")
-        assert set(table.columns) == set(schemas.TABLE_ORDER)
-        assert table.columns[-3:] == schemas.DATE_PARTITION
+        spark.sql("msck repair table stopwise_test")
+        named = spark.table("stopwise_test").select(*schemas.TABLE_ORDER)
+        stored = record_table.read_records(spark, str(tmp_path / "t"))
+        assert named.count() == 2 and named.exceptAll(stored).isEmpty()
     finally:
         spark.sql("drop table stopwise_test")
 
