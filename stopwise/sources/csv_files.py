@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stopwise import schemas
+from stopwise.functions.scalars import whole_number
+from stopwise.session import file_system
 
 # Text that stands for a missing value.
 NA_TOKENS = [
@@ -46,35 +53,79 @@ def null_na_tokens(column: Column) -> Column:
 def _typed(column: Column, type_name: str) -> Column:
     value = null_na_tokens(column)
     if type_name == "int":
-        # A column with gaps may have been written as 1.0 rather than 1.
-        number = value.try_cast("double")
-        return F.when(number == F.floor(number), number.try_cast("int"))
+        return whole_number(value.try_cast("double"))
     return value.try_cast(type_name)
 
 
-def read_text_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
-    """All columns as text, named by the header.
+def _place(uri: str) -> str:
+    """A file's path as readers take it, one spelling for each file."""
+    return re.sub("^file:/+", "file:/", unquote(uri))
+
+
+def _first_line(spark: SparkSession, file: str) -> str:
+    """The first line of a file that is not blank, through Hadoop and its codecs."""
+    files, path = file_system(spark, file)
+    java = spark._jvm.java.io
+    codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(files.getConf())
+    stream, codec = files.open(path), codecs.getCodec(path)
+    reader = java.BufferedReader(
+        java.InputStreamReader(stream if codec is None else codec.createInputStream(stream), "UTF-8")
+    )
+    try:
+        line = reader.readLine()
+        while line is not None and not line.strip():
+            line = reader.readLine()
+        return line or ""
+    finally:
+        reader.close()
+
+
+def _files_with_open_quotes(spark: SparkSession, files: list[str]) -> set[str]:
+    """Files in which a line holds an odd number of quotes: a record spans lines."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("file"), (quotes % 2 == 1).alias("odd"))
+    return {_place(r.file) for r in lines.filter("odd").select("file").distinct().collect()}
+
+
+def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text, named by each file's own header.
 
     Lines with too many fields are skipped, short lines are kept and filled
-    with nulls. ``multi_line`` allows line breaks inside quotes, at the price
-    of one task per file.
+    with nulls. Files in which quotes hold line breaks are read by one task each,
+    all others are split. Columns that a file lacks are null. Files without a
+    line are left out; a folder without any has no columns.
     """
+    files = [_place(f) for f in spark.read.text(path).inputFiles()]
+    spanning = _files_with_open_quotes(spark, files) if files else set()
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for file in files:
+        header = _first_line(spark, file)
+        if header:
+            groups.setdefault((header, file in spanning), []).append(file)
+    parts = [_read_alike(spark, some, spans) for (_, spans), some in sorted(groups.items())]
+    if not parts:
+        return spark.createDataFrame([], T.StructType([]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _read_alike(spark: SparkSession, files: list[str], multi_line: bool) -> DataFrame:
+    """Files of one header."""
     options = {"header": True, "escape": '"', "multiLine": multi_line}
-    names = spark.read.options(**options).csv(path).columns
+    names = spark.read.options(**options).csv(files[0]).columns
     quoted = [f"`{n.replace('`', '``')}`" for n in names]
     schema = ", ".join(f"{q} string" for q in [*quoted, _LINE])
     lines = (
         spark.read.schema(schema)
         .options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=_LINE, columnPruning=False)
-        .csv(path)
+        .csv(files)
     )
     short = F.col(quoted[-1]).isNull() & (_field_count(F.col(_LINE)) < len(names))
     return lines.filter(F.col(_LINE).isNull() | short).drop(_LINE)
 
 
-def read_raw_csv(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw records from CSV; values that do not fit their type become null."""
-    text = read_text_csv(spark, path, multi_line=multi_line)
+    text = read_text_csv(spark, path)
     columns = []
     for name, type_name in schemas.RAW_FIELDS:
         if name in text.columns:

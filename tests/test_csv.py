@@ -1,3 +1,4 @@
+import gzip
 import io
 
 import pandas as pd
@@ -43,5 +44,22 @@ def test_raw_records_are_typed_by_header_name(spark, tmp_path):
 
 def test_line_breaks_inside_quotes(spark, tmp_path):
     (tmp_path / "x.csv").write_text('a,b\n1,"two\nlines"\n')
-    df = csv_files.read_text_csv(spark, str(tmp_path), multi_line=True)
-    assert [tuple(r) for r in df.collect()] == [("1", "two\nlines")]
+    (tmp_path / "y.csv").write_text("a,b\n3,plain\n")
+    df = csv_files.read_text_csv(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == [("1", "two\nlines"), ("3", "plain")]
+
+
+def test_every_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "y.csv").write_text("\nb,a,c\n4,3,5\n6,5\n")
+    (tmp_path / "z a.csv").write_text("b\n7\n")
+    (tmp_path / "empty.csv").write_text("")
+    with gzip.open(tmp_path / "w.csv.gz", "wt") as f:
+        f.write("b,a\n9,8\n")
+    df = csv_files.read_text_csv(spark, str(tmp_path))
+    rows = sorted(((r.a, r.b, r.c) for r in df.collect()), key=str)
+    assert rows == sorted([("1", "2", None), ("3", "4", "5"), ("5", "6", None), (None, "7", None), ("8", "9", None)], key=str)
+
+
+def test_no_files(spark, tmp_path):
+    assert csv_files.read_raw_csv(spark, str(tmp_path)).count() == 0
