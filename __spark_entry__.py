@@ -6,6 +6,7 @@ import os
 import sys
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +105,54 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.rename_dotted(csv_files.read_raw_csv(spark, folder))
 
 
+def csv_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Irregular lines read back: quoted line breaks, fields too many or missing,
+    tokens for missing values, and two orders of columns."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    number = F.col("event_id")
+    quoted = F.concat(F.lit('"x, ""'), F.col("event_type"), F.lit('\ny"'))
+    a = number.cast("string")
+    b = F.when(number % 17 == 0, "NA").when(number % 19 == 0, quoted).otherwise(F.col("event_type"))
+    c = F.col("value").cast("string")
+    first = F.concat_ws(",", a, b, F.when(number % 11 != 0, c), F.when(number % 13 == 0, "more"))
+    other = F.concat_ws(",", c, a, F.when(number % 11 != 0, b), F.when(number % 13 == 0, "more"))
+    # A missing field and one too many would make a whole line.
+    first = F.when((number % 11 == 0) & (number % 13 == 0), F.concat(first, F.lit(",more"))).otherwise(first)
+    other = F.when((number % 11 == 0) & (number % 13 == 0), F.concat(other, F.lit(",more"))).otherwise(other)
+    file = (number % 4).cast("int")
+    lines = events.select(file.alias("file"), F.lit(1).alias("place"), F.when(file < 2, first).otherwise(other).alias("value"))
+    heads = [(i, 0, "a,b,c" if i < 2 else "c,a,b") for i in range(4)]
+    both = lines.unionByName(spark.createDataFrame(heads, "file int, place int, value string"))
+    folder = shared_folder(spark)
+    sorted_lines = both.repartition(4, "file").sortWithinPartitions("file", "place")
+    sorted_lines.select("file", "value").write.partitionBy("file").text(folder)
+    read = csv_files.read_text_csv(spark, folder)
+    text = {n: csv_files.null_na_tokens(F.col(n)) for n in "abc"}
+    return read.select(text["a"].try_cast("bigint").alias("a"), text["b"].alias("b"), text["c"].try_cast("double").alias("c"))
+
+
+def stored_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why rows of a stored batch were rejected: broken messages, text too long, times
+    with a line break behind them, keys with gaps, duplicates."""
+    raw = _raw_in_order(spark, sf_dir)
+    number = F.col(ARRIVAL)
+    odd = raw.withColumns(
+        {
+            "VehicleRef": F.when(number % 23 == 0, F.repeat(F.lit("x"), 300)).otherwise(F.col("VehicleRef")),
+            "RecordedAtTime": F.when(number % 31 == 0, F.concat("RecordedAtTime", F.lit("\n"))).otherwise(
+                F.col("RecordedAtTime")
+            ),
+        }
+    )
+    record = F.struct(*[F.col(f"`{n}`") for n, _ in schemas.RAW_FIELDS])
+    value = F.to_json(record, {"ignoreNullFields": "false"})
+    broken = F.concat(F.lit("broken "), number.cast("string"))
+    sent = odd.select(F.when(number % 37 == 0, broken).otherwise(value).alias("value"), ARRIVAL)
+    folder = shared_folder(spark)
+    ingest.store_messages(sent, "odd-0", table=f"{folder}/table", rejects=f"{folder}/rejects")
+    return spark.read.parquet(f"{folder}/rejects").select(ARRIVAL, "reason", ingest.MESSAGE)
+
+
 def drop_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.rename_dotted(cleaning.drop_incomplete(_raw(spark, sf_dir)))
 
@@ -265,26 +314,90 @@ def predicted_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delay_model.report(_accepted(spark, sf_dir), prediction="Delay")
 
 
+# Rows the forest of the headline query sees; its trees are not bounded.
+TRAINING_ROWS = 20_000
+
+
+def training_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key of every record and the part it belongs to."""
+    training, held_out = delay_model.split(_accepted(spark, sf_dir))
+    key = schemas.KEY
+    return training.select(*key, F.lit("training").alias("part")).unionByName(
+        held_out.select(*key, F.lit("held out").alias("part"))
+    )
+
+
+def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that are features after selection by correlation."""
+    rows = delay_model.snapshot(_accepted(spark, sf_dir))
+    chosen = delay_model.feature_columns(rows, delay_model.split(rows)[0], select=True)
+    return spark.createDataFrame([(c,) for c in chosen], "column_name string")
+
+
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of every record: labels of all records, means of the training part."""
+    rows = delay_model.snapshot(_accepted(spark, sf_dir))
+    training, _ = delay_model.split(rows)
+    columns = delay_model.feature_columns(rows, training)
+    encoded = encoding.label_encode(rows)
+    preparation = delay_model.build_preparation(columns)
+    fitted = preparation.fit(delay_model.split(encoded)[0])
+    names = fitted.stages[-1].getInputCols()
+    values = vector_to_array("features")
+    plain = [F.round(values[i], 6).alias(f"feature_{n}") for i, n in enumerate(names)]
+    return fitted.transform(encoded).select(*schemas.KEY, *plain)
+
+
 def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train on four fifths of all records, score the other fifth."""
+    """Train on four fifths of all records, score the other fifth with the model
+    and with the one loaded from its folder."""
     records = delay_model.snapshot(_accepted(spark, sf_dir))
-    model = delay_model.train(records, f"{shared_folder(spark)}/model", max_depth=10)
-    _, held_out = delay_model.split(records)
-    return delay_model.predict(model, held_out)
+    path = f"{shared_folder(spark)}/model"
+    model = delay_model.train(records, path, max_rows=TRAINING_ROWS, stored=True)
+    training, held_out = delay_model.split(records)
+    return _scores_checked(spark, path, model, training, held_out).select(*schemas.KEY, *_CHECKS)
+
+
+_CHECKS = ("scored", "within_labels", "same_when_loaded")
+
+
+def _scores_checked(spark: SparkSession, path: str, model, training: DataFrame, rows: DataFrame) -> DataFrame:
+    bounds = training.agg(F.min("Delay").alias("lo"), F.max("Delay").alias("hi")).first()
+    once = delay_model.predict(model, rows).withColumnRenamed(delay_model.PREDICTION, "first_score")
+    twice = delay_model.predict(delay_model.load(spark, path), once)
+    score = F.col(delay_model.PREDICTION)
+    return twice.withColumns(
+        {
+            "scored": score.isNotNull(),
+            "within_labels": score.between(bounds["lo"], bounds["hi"]),
+            "same_when_loaded": F.abs(score - F.col("first_score")) < 1e-9,
+        }
+    )
 
 
 def first_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the newest window, report on its last records."""
-    records = _accepted(spark, sf_dir)
-    return delay_model.first_report(records, f"{shared_folder(spark)}/model")
+    window = delay_model.snapshot(ranking.latest(_accepted(spark, sf_dir), delay_model.WINDOW))
+    reported = delay_model.first_report(window, f"{shared_folder(spark)}/model")
+    return _report_checked(reported, window)
+
+
+def _report_checked(reported: DataFrame, window: DataFrame) -> DataFrame:
+    """Vehicle and stop, and whether the minutes lie within those of the window's delays."""
+    bounds = window.agg(F.min("Delay").alias("lo"), F.max("Delay").alias("hi")).first()
+    vehicle, stop, minutes = reported.columns
+    lo, hi = (int(bounds[b] // 60) for b in ("lo", "hi"))
+    return reported.select(vehicle, stop, F.col(minutes).between(lo, hi).alias("within_labels"))
 
 
 def rescore_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the newest window, save, load again, report on the newest records."""
     records = delay_model.snapshot(_accepted(spark, sf_dir))
     path = f"{shared_folder(spark)}/model"
-    delay_model.train(ranking.latest(records, delay_model.WINDOW), path)
-    return delay_model.rescore_latest(delay_model.load(spark, path), records)
+    window = delay_model.snapshot(ranking.latest(records, delay_model.WINDOW))
+    delay_model.train(window, path, stored=True)
+    reported = delay_model.rescore_latest(delay_model.load(spark, path), records)
+    return _report_checked(reported, window)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -296,6 +409,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         json_round_trip,
         csv_round_trip,
+        csv_rules,
+        stored_rejects,
         drop_incomplete,
         timestamp_parts,
         scheduled_parts,
@@ -325,6 +440,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         record_count,
         readiness_gate,
         predicted_minutes,
+        training_split,
+        training_features,
+        feature_matrix,
         train_and_score,
         first_report,
         rescore_latest,

@@ -2,7 +2,134 @@
 
 from __future__ import annotations
 
-from stopwise import schemas
+# The contract, spelled out here once more: a wrong list in the package must not
+# agree with itself. Fixed values.
+RECORDED_PARTS = [
+    "RecordedAtTime_year",
+    "RecordedAtTime_month",
+    "RecordedAtTime_day",
+    "RecordedAtTime_hour",
+    "RecordedAtTime_minute",
+    "RecordedAtTime_second",
+]
+EXPECTED_PARTS = [
+    "ExpectedArrivalTime_year",
+    "ExpectedArrivalTime_month",
+    "ExpectedArrivalTime_day",
+    "ExpectedArrivalTime_hour",
+    "ExpectedArrivalTime_minute",
+    "ExpectedArrivalTime_second",
+]
+SCHEDULED_PARTS = [
+    "ScheduledArrivalTime_hour",
+    "ScheduledArrivalTime_minute",
+    "ScheduledArrivalTime_second",
+]
+TEXT_COLUMNS = [
+    "PublishedLineName",
+    "OriginName",
+    "DestinationName",
+    "VehicleRef",
+    "NextStopPointName",
+    "ArrivalProximityText",
+]
+TIMESTAMP_PARTS = ["year", "month", "day", "hour", "minute", "second"]
+COORDINATES = {
+    "OriginCoordinates": ("OriginLat", "OriginLong"),
+    "DestinationCoordinates": ("DestinationLat", "DestinationLong"),
+    "VehicleCoordinates": ("VehicleLocation_Latitude", "VehicleLocation_Longitude"),
+}
+MAX_TEXT_LENGTH = 255
+RAW_FIELDS = [
+    ("RecordedAtTime", "string"),
+    ("DirectionRef", "int"),
+    ("PublishedLineName", "string"),
+    ("OriginName", "string"),
+    ("OriginLat", "double"),
+    ("OriginLong", "double"),
+    ("DestinationName", "string"),
+    ("DestinationLat", "double"),
+    ("DestinationLong", "double"),
+    ("VehicleRef", "string"),
+    ("VehicleLocation_Latitude", "double"),
+    ("VehicleLocation_Longitude", "double"),
+    ("NextStopPointName", "string"),
+    ("ArrivalProximityText", "string"),
+    ("DistanceFromStop", "double"),
+    ("ExpectedArrivalTime", "string"),
+    ("ScheduledArrivalTime", "string"),
+]
+KEY = [
+    "RecordedAtTime_year",
+    "RecordedAtTime_month",
+    "RecordedAtTime_day",
+    "RecordedAtTime_hour",
+    "RecordedAtTime_minute",
+    "RecordedAtTime_second",
+    "OriginCoordinates",
+    "DestinationCoordinates",
+    "VehicleCoordinates",
+    "DistanceFromStop",
+    "Delay",
+]
+TABLE_ORDER = [
+    "RecordedAtTime_year",
+    "RecordedAtTime_month",
+    "RecordedAtTime_day",
+    "RecordedAtTime_hour",
+    "RecordedAtTime_minute",
+    "RecordedAtTime_second",
+    "ExpectedArrivalTime_year",
+    "ExpectedArrivalTime_month",
+    "ExpectedArrivalTime_day",
+    "ExpectedArrivalTime_hour",
+    "ExpectedArrivalTime_minute",
+    "ExpectedArrivalTime_second",
+    "ScheduledArrivalTime_hour",
+    "ScheduledArrivalTime_minute",
+    "ScheduledArrivalTime_second",
+    "DirectionRef",
+    "PublishedLineName",
+    "OriginName",
+    "OriginCoordinates",
+    "DestinationName",
+    "DestinationCoordinates",
+    "VehicleRef",
+    "VehicleCoordinates",
+    "NextStopPointName",
+    "ArrivalProximityText",
+    "DistanceFromStop",
+    "Delay",
+]
+FEATURE_ORDER = [
+    "DirectionRef",
+    "PublishedLineName",
+    "OriginName",
+    "DestinationName",
+    "VehicleRef",
+    "NextStopPointName",
+    "ArrivalProximityText",
+    "DistanceFromStop",
+    "RecordedAtTime_year",
+    "RecordedAtTime_month",
+    "RecordedAtTime_day",
+    "RecordedAtTime_hour",
+    "RecordedAtTime_minute",
+    "RecordedAtTime_second",
+    "ExpectedArrivalTime_year",
+    "ExpectedArrivalTime_month",
+    "ExpectedArrivalTime_day",
+    "ExpectedArrivalTime_hour",
+    "ExpectedArrivalTime_minute",
+    "ExpectedArrivalTime_second",
+    "ScheduledArrivalTime_hour",
+    "ScheduledArrivalTime_minute",
+    "ScheduledArrivalTime_second",
+    "Delay",
+    "OriginCoordinates",
+    "DestinationCoordinates",
+    "VehicleCoordinates",
+]
 
 _FULL = "'%Y-%m-%d %H:%M:%S'"
 _EXPECTED_AT = "(ts + to_seconds(event_id % 1200))"
@@ -44,13 +171,29 @@ REDELIVERED = f"""
          from once where arrival % 3 = 0)
 """
 
+# Over-long text, times with a line break behind them, and messages that are none.
+ODD_BUS = f"""
+ odd as (select event_id as arrival, {_RAW} from events where event_id % 37 != 0),
+ bus as (select * replace (case when arrival % 23 = 0 then repeat('x', 300) else VehicleRef end as VehicleRef,
+   case when arrival % 31 = 0 then null else RecordedAtTime end as RecordedAtTime) from odd)
+"""
+
+# Lines with a field too many go, missing fields and tokens for missing values are null.
+CSV_RULES = """
+ select event_id as a,
+  case when event_id % 17 = 0 or (event_id % 11 = 0 and event_id % 4 >= 2) then null
+       when event_id % 19 = 0 then 'x, "' || event_type || chr(10) || 'y' else event_type end as b,
+  case when event_id % 11 = 0 and event_id % 4 < 2 then null else value end as c
+ from events where event_id % 13 != 0
+"""
+
 COMPLETE = """
  complete as (select * from bus where ExpectedArrivalTime is not null and ScheduledArrivalTime is not null)
 """
 
-_RAW_NUMBERS = [schemas.DOTTED_NAMES.get(n, n) for n, t in schemas.RAW_FIELDS if t != "string"]
-_RAW_DOUBLES = [schemas.DOTTED_NAMES.get(n, n) for n, t in schemas.RAW_FIELDS if t == "double"]
-RAW_NAMES = [schemas.DOTTED_NAMES.get(n, n) for n, _ in schemas.RAW_FIELDS]
+_RAW_NUMBERS = [n for n, t in RAW_FIELDS if t != "string"]
+_RAW_DOUBLES = [n for n, t in RAW_FIELDS if t == "double"]
+RAW_NAMES = [n for n, _ in RAW_FIELDS]
 
 
 def _mean(column: str) -> str:
@@ -76,16 +219,16 @@ def _part(stamp: str, part: str) -> str:
     return f"cast(floor(extract({part} from {stamp})) as int)"
 
 
-_RECORDED = ", ".join(f"{_part('rts', p)} as RecordedAtTime_{p}" for p in schemas.TIMESTAMP_PARTS)
+_RECORDED = ", ".join(f"{_part('rts', p)} as RecordedAtTime_{p}" for p in TIMESTAMP_PARTS)
 _EXPECTED = ", ".join(
-    f"{_part('ets', p)} as ExpectedArrivalTime_{p}" for p in schemas.TIMESTAMP_PARTS
+    f"{_part('ets', p)} as ExpectedArrivalTime_{p}" for p in TIMESTAMP_PARTS
 )
 _SCHEDULED = f"""
  case when sh=24 or (sh=23 and {_part('ets', 'hour')}=0) then sh-24 else sh end as ScheduledArrivalTime_hour,
  sm as ScheduledArrivalTime_minute, ss as ScheduledArrivalTime_second
 """
-_TEXT = ", ".join(f"coalesce({c}, '') as {c}" for c in schemas.TEXT_COLUMNS)
-_SUMS = ", ".join(f"{lat} + {long} as {name}" for name, (lat, long) in schemas.COORDINATES.items())
+_TEXT = ", ".join(f"coalesce({c}, '') as {c}" for c in TEXT_COLUMNS)
+_SUMS = ", ".join(f"{lat} + {long} as {name}" for name, (lat, long) in COORDINATES.items())
 _DELAY = """
  (ExpectedArrivalTime_hour*3600+ExpectedArrivalTime_minute*60+ExpectedArrivalTime_second)
  -(ScheduledArrivalTime_hour*3600+ScheduledArrivalTime_minute*60+ScheduledArrivalTime_second) as Delay
@@ -101,11 +244,11 @@ def processed(source: str) -> str:
 """
 
 
-_KEY = ", ".join(schemas.KEY)
-_NULL_KEY = " or ".join(f"{c} is null" for c in schemas.KEY)
-_TOO_LONG = " or ".join(f"length({c}) > {schemas.MAX_TEXT_LENGTH}" for c in schemas.TEXT_COLUMNS)
+_KEY = ", ".join(KEY)
+_NULL_KEY = " or ".join(f"{c} is null" for c in KEY)
+_TOO_LONG = " or ".join(f"length({c}) > {MAX_TEXT_LENGTH}" for c in TEXT_COLUMNS)
 _TABLE = ", ".join(
-    "cast(Delay as double) as Delay" if c == "Delay" else c for c in schemas.TABLE_ORDER
+    "cast(Delay as double) as Delay" if c == "Delay" else c for c in TABLE_ORDER
 )
 
 CLASSIFIED = f"""
@@ -117,26 +260,38 @@ CLASSIFIED = f"""
  accepted as (select * exclude (arrival, reason) from classified where reason is null)
 """
 
-_TABLE_NAMES = ", ".join(schemas.TABLE_ORDER)
-_TIES = [c for c in schemas.KEY if c not in schemas.RECORDED_PARTS]
-_NEWEST = ", ".join([f"{c} desc" for c in schemas.RECORDED_PARTS] + [f"{c} asc" for c in _TIES])
-_OLDEST = ", ".join([f"{c} asc" for c in schemas.RECORDED_PARTS] + [f"{c} desc" for c in _TIES])
+_TABLE_NAMES = ", ".join(TABLE_ORDER)
+_TIES = [c for c in KEY if c not in RECORDED_PARTS]
+_NEWEST = ", ".join([f"{c} desc" for c in RECORDED_PARTS] + [f"{c} asc" for c in _TIES])
+_OLDEST = ", ".join([f"{c} asc" for c in RECORDED_PARTS] + [f"{c} desc" for c in _TIES])
 
 _LONG_LABELS = " union all ".join(
-    f"select '{c}' as column_name, {c} as label from accepted" for c in schemas.TEXT_COLUMNS
+    f"select '{c}' as column_name, {c} as label from accepted" for c in TEXT_COLUMNS
 )
 LABELS = f"""
  long as ({_LONG_LABELS}),
  counts as (select column_name, label, count(*) as label_count from long group by all),
  labels as (select *, cast(row_number() over (partition by column_name
-     order by label_count desc, label) - 1 as int) as label_index from counts)
+     order by label_count desc, label) - 1 as bigint) as label_index from counts)
+"""
+
+# The split: eight hexadecimal digits of the MD5 of seed and key, modulo 5.
+SPLIT = """
+ drawn as (select *, ('0x' || substr(md5(concat_ws('|', '16',
+   RecordedAtTime_year, RecordedAtTime_month, RecordedAtTime_day,
+   RecordedAtTime_hour, RecordedAtTime_minute, RecordedAtTime_second,
+   cast(floor(OriginCoordinates * 1000000) as bigint), cast(floor(DestinationCoordinates * 1000000) as bigint),
+   cast(floor(VehicleCoordinates * 1000000) as bigint), cast(floor(DistanceFromStop * 1000000) as bigint),
+   cast(floor(Delay * 1000000) as bigint))), 1, 8))::bigint % 5 as fifth from accepted),
+ training as (select * exclude (fifth) from drawn where fifth < 4),
+ held_out as (select * exclude (fifth) from drawn where fifth = 4)
 """
 
-_DOUBLES = ", ".join(f"try_cast({c} as double) as {c}" for c in schemas.FEATURE_ORDER)
-_POSITIONS = ", ".join(f"({n}, '{c}')" for n, c in enumerate(schemas.FEATURE_ORDER))
+_DOUBLES = ", ".join(f"try_cast({c} as double) as {c}" for c in FEATURE_ORDER)
+_POSITIONS = ", ".join(f"({n}, '{c}')" for n, c in enumerate(FEATURE_ORDER))
 _VALUES = " union all ".join(
     f"select arrival, {n} as i, {c} as v from doubles where {c} is not null"
-    for n, c in enumerate(schemas.FEATURE_ORDER)
+    for n, c in enumerate(FEATURE_ORDER)
 )
 _NAMED = f"(values {_POSITIONS})"
 
@@ -153,7 +308,7 @@ PAIRS = f"""
    where r > 0.9 and column_j not in ('Delay', 'VehicleRef', 'NextStopPointName'))
 """
 
-_ROUNDED = {*schemas.COORDINATES, "DistanceFromStop"}
+_ROUNDED = {*COORDINATES, "DistanceFromStop"}
 
 
 def _analysis_column(name: str) -> str:
@@ -173,20 +328,20 @@ _PROCESSED_IMPUTED = (BUS, COMPLETE, IMPUTED, processed("imputed"))
 _ACCEPTED = (*_PROCESSED_PLAIN, CLASSIFIED)
 _REDELIVERED = (REDELIVERED, COMPLETE, processed("complete"), CLASSIFIED)
 
-_FEATURES = _select(schemas.FEATURE_ORDER)
+_FEATURES = _select(FEATURE_ORDER)
 _RAW_LIST = _select(RAW_NAMES)
-_ANALYSIS_LIST = _select([f"{_analysis_column(c)} as {c}" for c in schemas.FEATURE_ORDER])
+_ANALYSIS_LIST = _select([f"{_analysis_column(c)} as {c}" for c in FEATURE_ORDER])
 _SELECTED_LIST = _select(
     [
         f"case when '{c}' not in (select column_name from chosen) then {_analysis_column(c)} end as {c}"
-        for c in schemas.FEATURE_ORDER
+        for c in FEATURE_ORDER
     ]
 )
 _COUNT_ROWS = " union all ".join(
     f"select '{c}' as column_name, count(*) as row_count, count({c}) as value_count from doubles"
-    for c in schemas.FEATURE_ORDER
+    for c in FEATURE_ORDER
 )
-_NUMERIC = [c for c in schemas.FEATURE_ORDER if c not in schemas.TEXT_COLUMNS]
+_NUMERIC = [c for c in FEATURE_ORDER if c not in TEXT_COLUMNS]
 
 
 def _code(column: str) -> str:
@@ -195,6 +350,23 @@ def _code(column: str) -> str:
     return f"cast(coalesce({code}, {count}) as double) as {column}_indexed"
 
 
+def _feature(column: str) -> str:
+    if column in TEXT_COLUMNS:
+        return f"{_code(column).removesuffix(f' as {column}_indexed')} as feature_{column}_indexed_feature"
+    mean = f"(select avg(cast({column} as double)) from training)"
+    return f"round(coalesce(cast({column} as double), {mean}), 6) as feature_{column}_feature"
+
+
+_VALUED = " union all ".join(
+    f"select '{c}' as column_name, count({c}) as value_count from training" for c in TABLE_ORDER
+)
+# Pairs over the stored records, numbered as rows.
+STORED_PAIRS = f"""
+ numbered as (select *, row_number() over () as arrival from accepted),
+ {PAIRS.replace("from processed", "from numbered")}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     accepted = f"{_with(*_ACCEPTED)} select {_TABLE_NAMES} from accepted"
     redelivered = f"{_with(*_REDELIVERED)} select {_TABLE_NAMES} from accepted"
@@ -205,10 +377,10 @@ def oracle_sql() -> dict[str, str]:
         "csv_round_trip": raw,
         "drop_incomplete": f"{_with(BUS, COMPLETE)} select {_RAW_LIST} from complete",
         "timestamp_parts": f"""{_with(*_PROCESSED_PLAIN)} select arrival,
-            {_select(schemas.RECORDED_PARTS + schemas.EXPECTED_PARTS)} from processed""",
+            {_select(RECORDED_PARTS + EXPECTED_PARTS)} from processed""",
         "scheduled_parts": f"""{_with(*_PROCESSED_PLAIN)} select arrival,
-            {_select(schemas.SCHEDULED_PARTS)} from processed""",
-        "delay_seconds": f"""{_with(*_PROCESSED_PLAIN)} select VehicleRef, {_select(schemas.RECORDED_PARTS)},
+            {_select(SCHEDULED_PARTS)} from processed""",
+        "delay_seconds": f"""{_with(*_PROCESSED_PLAIN)} select VehicleRef, {_select(RECORDED_PARTS)},
             ExpectedArrivalTime_hour, ScheduledArrivalTime_hour, Delay from processed""",
         "coordinate_sums": f"{_with(BUS)} select arrival, {_SUMS} from bus",
         "impute_numeric_mean": f"""{_with(BUS, COMPLETE, IMPUTED)} select arrival, DirectionRef,
@@ -217,6 +389,10 @@ def oracle_sql() -> dict[str, str]:
         "processed_records": f"{_with(*_PROCESSED_PLAIN)} select {_FEATURES} from processed",
         "processed_records_imputed": f"""{_with(*_PROCESSED_IMPUTED)}
             select {_ANALYSIS_LIST} from processed""",
+        "csv_rules": CSV_RULES,
+        "stored_rejects": f"""{_with(ODD_BUS, COMPLETE, processed("complete"), CLASSIFIED)}
+            select arrival, reason, cast(null as varchar) as message from classified where reason is not null
+            union all select event_id, 'undecodable', 'broken ' || event_id from events where event_id % 37 = 0""",
         "sink_accepted": accepted,
         "sink_rejects": f"""{_with(*_ACCEPTED)} select {_TABLE_NAMES}, arrival, reason
             from classified where reason is not null""",
@@ -245,7 +421,23 @@ def oracle_sql() -> dict[str, str]:
             order by {_NEWEST} limit 100) select * from newest order by {_OLDEST} limit 5""",
         "label_index": f"{_with(*_ACCEPTED, LABELS)} select * from labels",
         "label_encode": f"""{_with(*_ACCEPTED, LABELS)} select {_TABLE_NAMES},
-            {_select([_code(c) for c in schemas.TEXT_COLUMNS])} from accepted""",
+            {_select([_code(c) for c in TEXT_COLUMNS])} from accepted""",
+        "training_split": f"""{_with(*_ACCEPTED, SPLIT)} select {_KEY},
+            case when fifth < 4 then 'training' else 'held out' end as part from drawn""",
+        "training_features": f"""{_with(*_ACCEPTED, SPLIT, STORED_PAIRS)}, valued as ({_VALUED})
+            select column_name from valued where value_count > 0 and column_name != 'Delay'
+            and column_name not in (select column_name from chosen)""",
+        "feature_matrix": f"""{_with(*_ACCEPTED, LABELS, SPLIT)} select {_KEY},
+            {_select([_feature(c) for c in TABLE_ORDER if c != 'Delay'])} from accepted""",
+        "train_and_score": f"""{_with(*_ACCEPTED, SPLIT)} select {_KEY}, true as scored,
+            true as within_labels, true as same_when_loaded from held_out""",
+        "first_report": f"""{_with(*_ACCEPTED)}, newest as (select {_TABLE_NAMES} from accepted
+            order by {_NEWEST} limit 100), last as (select * from newest order by {_OLDEST} limit 5)
+            select VehicleRef as "Vehicle Reference", NextStopPointName as "Next Stop Point",
+            true as within_labels from last""",
+        "rescore_latest": f"""{_with(*_ACCEPTED)}, newest as (select {_TABLE_NAMES} from accepted
+            order by {_NEWEST} limit 5) select VehicleRef as "Vehicle Reference",
+            NextStopPointName as "Next Stop Point", true as within_labels from newest""",
         "record_count": f"{_with(*_ACCEPTED)} select count(*) as record_count from accepted",
         "readiness_gate": f"{_with(*_ACCEPTED)} select count(*) >= 20 as ready from accepted",
         "predicted_minutes": f"""{_with(*_ACCEPTED)} select VehicleRef as "Vehicle Reference",
