@@ -103,6 +103,13 @@ def _pairs(texts: list[str]) -> np.ndarray:
     return counts
 
 
+def _without(text: str, spans: list[tuple[int, int, str, str]]) -> str:
+    """The ordinary part of a text: blanks in the place of the rules' spans."""
+    for start, end, _, _ in spans:
+        text = text[:start] + " " * (end - start) + text[end:]
+    return text
+
+
 def learn_formats(df: DataFrame, text: str = "text", examples: int = EXAMPLES, alpha: float = 0.05) -> Formats:
     """Automata from the credentials that the rules label in ``df``.
 
@@ -116,8 +123,9 @@ def learn_formats(df: DataFrame, text: str = "text", examples: int = EXAMPLES, a
         for batch in batches:
             for part in text_slices(batch, 0):
                 texts = texts_of(part, 0)
-                found = [(kind, value) for t in texts for _, _, kind, value in rule_spans(t)]
-                pairs = _pairs(texts)
+                spans = [rule_spans(t) for t in texts]
+                found = [(kind, value) for some in spans for _, _, kind, value in some]
+                pairs = _pairs([_without(t, some) if some else t for t, some in zip(texts, spans, strict=True)])
                 seen = np.flatnonzero(pairs)
                 kinds = [k for k, _ in found] + ["pair"] * len(seen)
                 values = [v for _, v in found] + [str(s) for s in seen]
