@@ -56,7 +56,7 @@ def url_tokens(url: Column) -> Column:
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^=&#]*)", 1)
-    segment = F.regexp_replace(F.split(path, "/")[1], "[0-9]+", "0")
+    segment = F.regexp_replace(F.get(F.split(path, "/"), F.lit(1)), "[0-9]+", "0")
     ending = F.regexp_extract(path, r"\.([A-Za-z]{1,5})$", 1)
 
     def last(n: int) -> Column:
@@ -70,7 +70,7 @@ def url_tokens(url: Column) -> Column:
         named("top", last(1)),
         named("domain", last(2)),
         named("site", last(3)),
-        named("first", labels[0]),
+        named("first", F.get(labels, F.lit(0))),
         named("segment", segment),
         named("depth", depth),
         named("ending", ending),
