@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -42,12 +43,16 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def worker_store(name: str) -> dict:
-    """A dictionary that outlives the task: it stays with the Python worker.
+    """A dictionary that outlives the task: it stays with the Python worker until
+    another operator asks for one, so a worker never holds those of several.
 
     Task code is sent by value, so its own globals would be new in every task.
     """
     holder = sys.modules.setdefault("_stopwise_llm_store", types.ModuleType("_stopwise_llm_store"))
-    return holder.__dict__.setdefault(name, {})
+    if getattr(holder, "owner", None) != name:
+        holder.owner, holder.store = name, {}
+        gc.collect()
+    return holder.store
 
 
 def text_slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
