@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from stopwise.llm.common import pick, text_slices, texts_of
 
 UNDETERMINED = "und"
-MAX_ROWS = 3000  # labelled rows the model is fitted on
-BUCKETS = 1 << 13
+MAX_ROWS = 2000  # labelled rows the model is fitted on
+BUCKETS = 1 << 12
 DIMENSION = 16
 _NGRAMS = (1, 2, 3, 4)
 _MULTIPLIER = np.uint32(0x9E3779B1)
