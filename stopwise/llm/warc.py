@@ -240,8 +240,8 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     ranges = files.select("path", F.explode(starts).alias("start"))
-    # Ranges are a few bytes each; dealt evenly, a task has about one at a time.
-    dealt = ranges.repartition(F.col("path"), F.col("start"))
+    # A range is a few bytes, so only a stated number keeps them from one task.
+    dealt = ranges.repartition(max(1, ranges.count()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
