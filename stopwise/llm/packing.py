@@ -26,14 +26,17 @@ CAPACITY = 2048
 PIECE = 512
 BIN_TOKENS = 256 * CAPACITY
 _KEPT_WORDS = 400_000
+_MARKS = b".,;:!?"
 _END = np.array([1], dtype="<u4").tobytes()
 
 
 class WordIds:
     """Ids of texts whose tokens never span white space, word by word.
 
-    The words between ASCII white space are looked up in a bounded table; new
-    ones go to the tokenizer in one call.
+    What stands between ASCII white space is looked up in a bounded table. A new
+    word is taken apart where the tokenizer does so for certain: marks at the end
+    after a letter or digit, and the letters' case. Words of letters alone are one
+    piece each, so they go to the tokenizer as one text; the others one by one.
     """
 
     def __init__(self, content: bytes):
@@ -41,22 +44,57 @@ class WordIds:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # what was known before the table was full
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
         split = [t.encode().split() for t in texts]
         fresh = set().union(*split).difference(self.known)
         if len(self.known) + len(fresh) > _KEPT_WORDS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
             fresh = set().union(*split)
-        words = list(fresh)
-        for start in range(0, len(words), 20_000):
-            some = words[start : start + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(some, coded, strict=True))
+        if fresh:
+            self._learn(fresh)
         look = self.known.__getitem__
         return [b"".join(map(look, words)) for words in split]
 
+    def _learn(self, words: set[bytes]) -> None:
+        known, apart, needed = self.known, [], set()
+        for word in words:
+            if (ids := self.older.get(word)) is not None:
+                known[word] = ids
+                continue
+            core = word.rstrip(_MARKS)
+            if not core or not core[-1:].isalnum():
+                core = word
+            tail, core = word[len(core) :], core.lower() if core.isascii() else core
+            apart.append((word, core, tail))
+            if core not in known:
+                needed.add(core)
+            if tail and tail not in known:
+                needed.add(tail)
+        some = list(needed)
+        for start in range(0, len(some), 20_000):
+            part = some[start : start + 20_000]
+            known.update(zip(part, self._spell([w.decode() for w in part]), strict=True))
+        for word, core, tail in apart:
+            known[word] = known[core] + known[tail] if tail else known[core]
+
+    def _spell(self, words: list[str]) -> list[bytes]:
+        plain = [w for w in words if w.isalpha()]
+        spelled: dict[str, bytes] = {}
+        if plain:
+            coded = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
+            ids, pieces = np.array(coded.ids, dtype="<u4"), np.array(coded.word_ids)
+            starts = np.flatnonzero(np.r_[True, pieces[1:] != pieces[:-1]][: len(ids)])
+            if len(starts) == len(plain):
+                raw, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids)]
+                spelled = {w: raw[4 * a : 4 * b] for w, a, b in zip(plain, starts.tolist(), ends, strict=True)}
+        rest = [w for w in words if w not in spelled]
+        coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        spelled.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(rest, coded, strict=True))
+        return [spelled[w] for w in words]
+
 
 def spans_of(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document: whole windows first, the rest
