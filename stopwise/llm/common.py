@@ -35,11 +35,24 @@ def pick(df: DataFrame, **wanted: Column | str) -> DataFrame:
     return plain.select(*[F.col(f"c{place(old)}").alias(new) for new, old in wanted.items()])
 
 
+_BATCH_SETTING, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to a new shared folder and read back: the lineage ends here."""
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """``df`` written to a new shared folder and read back: the lineage ends here.
+
+    Python tasks get their rows in batches of 8 MB while it is written, which both
+    the JVM and the worker hold; the session's own setting comes back after.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, _BATCH_BYTES)
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def worker_store(name: str) -> dict:

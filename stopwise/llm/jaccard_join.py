@@ -11,8 +11,9 @@ that each leave little to the next:
    and what a task sees twice it settles itself, so a frequent shingle travels
    once per task.
 3. The classes left are ordered exactly by frequency, and their prefixes give
-   candidate pairs: first along chains of neighbours in each shingle's list, then,
-   after the linked ones are joined, between different components only. Length,
+   candidate pairs: in a few turns each class with the two it stands next to in most
+   of its shingles' lists, then, with the linked ones joined, all that lie between
+   different components. Length,
    position and suffix bounds come before the sets themselves are fetched, once a
    pair. So a group of thousands of near copies costs its size, not its square.
 """
@@ -33,12 +34,13 @@ from stopwise.llm.components import connected_components
 
 WORDS = 5
 PERCENT = 80
-_FLUSH = 1_500_000  # shingles a task gathers before it sends them
-_BUCKET = 2_000_000  # shingles of a bucket, about
+_FLUSH = 1_000_000  # shingles a task gathers before it sends them
+_BUCKET = 1_500_000  # shingles of a bucket, about
 _SPACE = 1 << 40  # shingles are counted by the upper 40 bits of their hash
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 200_000
 _PARTS = 32  # of the hash space, for the suffix bound
 _CHAIN = 5_000  # rows of one shingle's list that one chain takes
+_TURNS = 4  # of neighbours, before all that is left
 _SEED = 0x9E3779B97F4A7C15
 _FACTORS = [np.uint64(pow(_SEED, 2 * i + 1, 1 << 64)) for i in range(64)]
 _BROADCAST_ROWS = 1_000_000
@@ -240,13 +242,13 @@ def _shared_counts(df: DataFrame, text: str, n: int, buckets: int) -> DataFrame:
             starts = np.flatnonzero(
                 np.r_[True, (classes[1:] != classes[:-1]) | (flushes[1:] != flushes[:-1])][: len(classes)]
             )
-            yield _counts(classes[starts], flushes[starts], np.diff(np.r_[starts, len(classes)]))
+            yield _dealt(classes[starts], flushes[starts], np.diff(np.r_[starts, len(classes)]), buckets)
 
         for batch in batches:
             for bucket, flush, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket == _TOLD:
                     names, told = np.frombuffer(packed, "<i8").reshape(2, -1)
-                    yield _counts(names, np.full(len(names), flush), told)
+                    yield _dealt(names, np.full(len(names), flush), told, buckets)
                     continue
                 if bucket != current:
                     yield from answer()
@@ -258,15 +260,46 @@ def _shared_counts(df: DataFrame, text: str, n: int, buckets: int) -> DataFrame:
     # Told counts have no bucket to meet in and are dealt by their flush.
     where = F.when(F.col("bucket") < 0, F.pmod("flush", F.lit(buckets))).otherwise(F.col("bucket"))
     met = sent.withColumn("to", where).repartition(buckets, "to").sortWithinPartitions("bucket")
-    answered = met.select("bucket", "flush", "packed").mapInArrow(settle, "class long, flush long, n long")
-    # Every flush that holds a class comes to the same count of it.
-    by_flush = answered.groupBy("class", "flush").agg(F.sum("n").alias("shared"))
-    return by_flush.groupBy("class").agg(F.max("shared").alias("shared"))
+    answered = met.select("bucket", "flush", "packed").mapInArrow(settle, "to int, packed binary")
+    gathered = answered.repartition(buckets, "to").sortWithinPartitions("to")
+    return gathered.mapInArrow(_summed, "class long, shared long")
 
 
-def _counts(classes: np.ndarray, flushes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    arrays = [pa.array(np.asarray(a, np.int64)) for a in (classes, flushes, counts)]
-    return pa.RecordBatch.from_arrays(arrays, names=["class", "flush", "n"])
+def _dealt(classes: np.ndarray, flushes: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Counts as packed arrays, a row for each part that some of the classes belong to."""
+    to = (classes.astype(np.int64).view(np.uint64) % np.uint64(parts)).astype(np.int32)
+    rows = np.stack([np.asarray(a, np.int64) for a in (classes, flushes, counts)])
+    order = np.argsort(to, kind="stable")
+    to, rows = to[order], rows[:, order]
+    edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)])
+    ends = [*edges[1:].tolist(), len(to)]
+    packed = [rows[:, a:b].tobytes() for a, b in zip(edges.tolist(), ends)] if len(to) else []
+    return pa.RecordBatch.from_arrays([pa.array(to[edges], pa.int32()), pa.array(packed, pa.binary())], names=["to", "packed"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by class and flush. Every flush that holds a class comes to the same sum,
+    so the class has the largest. Rows come sorted by part."""
+    held, current = [], None
+
+    def total() -> Iterator[pa.RecordBatch]:
+        if held:
+            classes, flushes, counts = np.concatenate(held, axis=1)
+            order = np.lexsort((flushes, classes))
+            classes, flushes, counts = classes[order], flushes[order], counts[order]
+            starts = np.flatnonzero(np.r_[True, (classes[1:] != classes[:-1]) | (flushes[1:] != flushes[:-1])])
+            sums, classes = np.add.reduceat(counts, starts), classes[starts]
+            starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
+            shared = np.maximum.reduceat(sums, starts)
+            yield pa.RecordBatch.from_arrays([pa.array(classes[starts]), pa.array(shared)], names=["class", "shared"])
+
+    for batch in batches:
+        for to, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if to != current:
+                yield from total()
+                held, current = [], to
+            held.append(np.frombuffer(packed, np.int64).reshape(3, -1))
+    yield from total()
 
 
 def _class_sets(df: DataFrame, key: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -342,39 +375,60 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return fetched.filter(alike(common)).select("a", "b")
 
 
+def _neighbours(postings: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of different components: each class with the two it stands next to
+    in most of its shingles' lists. Lists are in the order of length at first, then in
+    another mixed order each turn; long lists are several chains."""
+    chain = F.pmod(F.xxhash64("class"), F.expr(f"often div {_CHAIN} + 1"))
+    order = ["n", "class"] if turn == 0 else [F.xxhash64("class", F.lit(turn)), "class"]
+    line = Window.partitionBy("hash", "chain").orderBy(*order)
+    before = [F.lag(c).over(line).alias(f"{c}_b") for c in ("class", "n", "component")]
+    near = postings.withColumn("chain", chain).select("class", "n", "component", *before)
+    near = near.filter("component != component_b").filter(f"least(n, n_b) * 100 >= greatest(n, n_b) * {percent}")
+    one = near.select(F.col("class").alias("c"), F.col("class_b").alias("d"))
+    lists = one.unionByName(one.select(F.col("d").alias("c"), F.col("c").alias("d")))
+    often = lists.groupBy("c", "d").agg(F.count("*").alias("lists"))
+    best = Window.partitionBy("c").orderBy(F.desc("lists"), "d")
+    chosen = often.withColumn("place", F.row_number().over(best)).filter("place <= 2")
+    return chosen.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+
+
+def _mixed(postings: DataFrame, joined: DataFrame) -> DataFrame:
+    """The postings, with components, of the lists that hold several of them."""
+    named = postings.drop("component").join(joined, postings["class"] == joined["node"], "left")
+    named = named.select(*postings.drop("component").columns, F.coalesce("component", "class").alias("component"))
+    lists = named.groupBy("hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return named.join(lists.filter("lo < hi").select("hash"), "hash", "left_semi")
+
+
 def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node, component`` of all classes that are linked to another, from
     ``sets`` (class, n, hashes, parts: their counts by part of the hash space)."""
     sets = stored(sets)
-    postings = stored(_prefixes(sets, percent))
+    postings = stored(_prefixes(sets, percent).withColumn("component", F.col("class")))
+    joined = sets.sparkSession.createDataFrame([], "node long, component long")
 
-    # Neighbours by length in each shingle's list, long lists in several chains.
-    chain = F.pmod(F.xxhash64("class"), F.expr(f"often div {_CHAIN} + 1"))
-    line = Window.partitionBy("hash", "chain").orderBy("n", "class")
-    near = postings.withColumn("chain", chain).select(
-        F.col("class").alias("c"), "n", F.lag("class").over(line).alias("d"), F.lag("n").over(line).alias("m")
-    )
-    near = near.filter(f"m * 100 >= n * {percent}")
-    chained = near.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
-    first = stored(_verified(chained, sets, percent))
-    joined = stored(connected_components(first))
+    def with_stars(links: DataFrame) -> DataFrame:
+        # A component's star stands for its links.
+        stars = joined.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return stars.unionByName(links)
+
+    for turn in range(_TURNS):
+        found = stored(_verified(_neighbours(postings, percent, turn), sets, percent))
+        if found.isEmpty():
+            break
+        joined = stored(connected_components(with_stars(found)))
+        postings = stored(_mixed(postings, joined))
 
     # What is left lies between different components.
-    named = postings.join(joined, postings["class"] == joined["node"], "left").select(
-        "hash", "class", "n", "place", F.coalesce("component", "class").alias("component")
-    )
-    mixed = named.groupBy("hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = stored(named.join(mixed.filter("lo < hi").select("hash"), "hash"))
-    side = lambda x: open_.select(
-        "hash", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "place", "component")]
-    )
+    def side(x: str) -> DataFrame:
+        return postings.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "place", "component")])
+
     meet = (F.col("component_a") != F.col("component_b")) & (F.col("class_a") < F.col("class_b"))
     met = side("a").join(side("b"), "hash").filter(meet & _fits(percent))
     others = met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
-    second = _verified(others, sets, percent)
-    # A component's star stands for its links.
-    stars = joined.filter("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return connected_components(stars.unionByName(second))
+    rest = stored(_verified(others, sets, percent))
+    return joined if rest.isEmpty() else connected_components(with_stars(rest))
 
 
 def similarity_components(
