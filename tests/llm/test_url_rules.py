@@ -150,3 +150,38 @@ def test_plan_is_native(spark):
     df = spark.createDataFrame(_labelled(), "page_id long, url string, blocked boolean")
     plan = url_rules.judge(df, url_rules.mine_rules(df), queries.HOST_RULES)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize(
+    ("bad", "good"),
+    [
+        ("http://a.org/en/casino/{}", "http://a.org/en/garden/{}"),
+        ("http://a.org/x?id={}&ref=spam", "http://a.org/x?id={}&ref=mail"),
+        ("http://www.bets.shop.a.org/{}", "http://www.tea.shop.a.org/{}"),
+        ("http://a.org/1/2/3/4/5/6/7/{}", "http://a.org/1/2/3/4/5/6/7/8/{}"),
+        ("http://a.org/{}.torrent", "http://a.org/{}.html"),
+        ("ftp://a.org/{}", "http://a.org/{}"),
+        ("http://a.org/{}#win", "http://a.org/{}#top"),
+    ],
+)
+def test_all_parts_are_mined_and_matched(spark, bad, good):
+    rows = [(i, (bad if i % 3 == 0 else good).format(i), i % 3 == 0) for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean")
+    judged = {r["page_id"]: r["verdict"] for r in url_rules.judge(df, url_rules.mine_rules(df), []).collect()}
+    assert judged == {i: "block" if b else "allow" for i, _, b in rows}
+
+
+def test_tokens_of_the_same_rows_stand_for_each_other(spark):
+    rows = [(i, f"http://a.org/casino/{i}?ref=spam" if i % 3 == 0 else f"http://a.org/{i}", i % 3 == 0) for i in range(120)]
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "page_id long, url string, blocked boolean"))
+    urls = ["http://b.net/casino", "http://b.net/x?ref=y", "http://b.net/x?z=spam", "http://b.net/x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    judged = {r["url"]: r["verdict"] for r in url_rules.judge(df, rules, []).collect()}
+    assert [judged[u] for u in urls] == ["block", "block", "block", "allow"]
+
+
+def test_many_tokens_of_the_same_rows(spark):
+    path = "/".join("abcdefghijklmnopqrstuvwxyz")
+    rows = [(f"http://a.org/{path}" if i % 2 else "http://b.org/x", i % 2 == 1) for i in range(80)]
+    rules = url_rules.mine_rules(spark.createDataFrame(rows, "url string, blocked boolean")).collect()
+    assert max(len(c) for r in rules for c in r["classes"]) >= 26
