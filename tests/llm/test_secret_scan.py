@@ -137,3 +137,52 @@ def test_automaton_tells_branches_apart():
     automaton = grammar.Automaton(strings)
     like = [automaton.log_likelihood(grammar.symbols(s)) for s in ("00000AAAAA", "gggggggggg", "0000000ggg")]
     assert min(like[:2]) > like[2]
+
+
+def _labelled(spark, value, n=400):
+    """Formats learned from ``value`` behind a label, among plain words."""
+    rng = random.Random(11)
+    words = ["the", "Meeting", "of", "another", "letters", "in", "Saturday.", "end.", "U.S.A.", "12", "x"]
+    rows = []
+    for i in range(n):
+        text = [rng.choice(words) for _ in range(30)]
+        if i % 2 == 0:
+            text.insert(9, f"secret: {value(rng)}")
+        if i % 4 == 1:
+            text.insert(3, "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16)))
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df, secret_scan.learn_formats(df)
+
+
+@pytest.mark.parametrize(
+    "value",
+    [
+        lambda rng: _mixed(rng, 14),
+        lambda rng: ".".join(_mixed(rng, 12) for _ in range(3)),
+        lambda rng: "".join(rng.choices(string.ascii_letters, k=30)),
+        lambda rng: "".join(rng.choices(string.digits, k=21)),
+    ],
+    ids=["short", "dotted", "letters", "digits"],
+)
+def test_bare_credentials_of_any_labelled_form(spark, value):
+    df, formats = _labelled(spark, value)
+    rng = random.Random(12)
+    for _ in range(20):
+        bare = value(rng)
+        text = f"see {bare} there"
+        found = [(k, text[s:e]) for s, e, k, _ in secret_scan.spans_of(text, formats)]
+        assert found == [("format", bare)] or found[0][0] == "hex"
+    for row in secret_scan.scan(df, formats).collect():
+        assert all(s["kind"] != secret_scan.FORMAT for s in row["spans"])
+
+
+def test_second_secret_beside_a_rule_span(learned):
+    _, formats = learned
+    rng = random.Random(13)
+    one, two, access = _mixed(rng), _mixed(rng), "AKIA" + "Q7" * 8
+    text = f"{access}/{one} and {two}/token={_hex(rng)} end"
+    found = [text[s:e] for s, e, k, _ in secret_scan.spans_of(text, formats) if k == secret_scan.FORMAT]
+    assert found == [one, two]
+    sentence = f"see {one}."
+    assert [sentence[s:e] for s, e, _, _ in secret_scan.spans_of(sentence, formats)] == [one]
