@@ -35,7 +35,8 @@ class WordIds:
 
     What stands between ASCII white space is looked up in a bounded table. A new
     word is taken apart where the tokenizer does so for certain: marks at the end
-    after a letter or digit, and the letters' case. Words of letters alone are one
+    after a letter or digit, and the letters' case, unless an added token of the file,
+    which is sought in the raw text, could be meant. Words of letters alone are one
     piece each, so they go to the tokenizer as one text; the others one by one.
     """
 
@@ -43,6 +44,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_buffer(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # what was known before the table was full
 
@@ -67,7 +69,9 @@ class WordIds:
             core = word.rstrip(_MARKS)
             if not core or not core[-1:].isalnum():
                 core = word
-            tail, core = word[len(core) :], core.lower() if core.isascii() else core
+            tail, lowered = word[len(core) :], core.lower()
+            if core.isascii() and not any(a in lowered for a in self.added):
+                core = lowered
             apart.append((word, core, tail))
             if core not in known:
                 needed.add(core)

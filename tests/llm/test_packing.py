@@ -118,3 +118,9 @@ def test_repeated_rows_and_small_bins(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(df, PATH).count() == 0
+
+
+def test_added_tokens_keep_their_case(spark):
+    texts = {1: "a <|ENDOFTEXT|> <|EndOfText|>, B<|endoftext|>C <|STARTOFTEXT|>", 2: "<|endoftext|> The THE"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    _check(packing.pack(df, PATH).withColumn("crc", F.crc32("ids")).collect(), texts)
