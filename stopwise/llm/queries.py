@@ -13,6 +13,7 @@ from stopwise.llm import (
     jaccard_join,
     language_id,
     packing,
+    residual_packing,
     rotated_codes,
     secret_scan,
     spot_signatures,
@@ -140,6 +141,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed whole into sequences of 2048 tokens by best fit."""
+    docs = _table(spark, sf_dir, "documents")
+    pieces = residual_packing.token_pieces(docs, public_tokenizers.path(_BYTE_BPE))
+    narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return residual_packing.assign(narrow)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         op1_warc,
@@ -152,5 +161,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_jaccard_join,
         op9_spot_signatures,
         op10_language_id,
+        op11_residual_packing,
     ]
     return {q.__name__: q for q in registered}
