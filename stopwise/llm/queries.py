@@ -16,6 +16,7 @@ from stopwise.llm import (
     residual_packing,
     rotated_codes,
     secret_scan,
+    spelling,
     spot_signatures,
     unigram_count,
     url_rules,
@@ -149,6 +150,12 @@ def op11_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residual_packing.assign(narrow)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More usual spellings of all words of the documents, with planted slips."""
+    words = spelling.count_words(_table(spark, sf_dir, "documents"), slip_every=97)
+    return spelling.spelling_forms(words)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         op1_warc,
@@ -162,5 +169,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_spot_signatures,
         op10_language_id,
         op11_residual_packing,
+        op12_spelling,
     ]
     return {q.__name__: q for q in registered}
