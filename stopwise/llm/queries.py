@@ -18,6 +18,7 @@ from stopwise.llm import (
     secret_scan,
     spelling,
     spot_signatures,
+    token_alignment,
     unigram_count,
     url_rules,
     warc,
@@ -156,6 +157,13 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(words)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers over all documents, aligned and linked."""
+    docs = _table(spark, sf_dir, "documents")
+    paths = [public_tokenizers.path(name) for name in (_BYTE_BPE, _PIECES)]
+    return token_alignment.link_statistics(docs, *paths)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     registered = [
         op1_warc,
@@ -170,5 +178,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_language_id,
         op11_residual_packing,
         op12_spelling,
+        op13_token_alignment,
     ]
     return {q.__name__: q for q in registered}
