@@ -19,20 +19,46 @@ from stopwise.operators.nulls import as_doubles
 cloudpickle.register_pickle_by_value(pair_moments)
 
 
-def _merge_by_pair(moments: DataFrame) -> DataFrame:
-    """Merge the tasks' moments; one shuffle by pair serves window and group."""
+def merge_moments(moments: DataFrame) -> DataFrame:
+    """One row of moments for each pair; one shuffle by pair serves window and group."""
     pair = Window.partitionBy("i", "j")
-    x_gap = F.col("mean_x") - F.sum(F.col("n") * F.col("mean_x")).over(pair) / F.sum("n").over(pair)
-    y_gap = F.col("mean_y") - F.sum(F.col("n") * F.col("mean_y")).over(pair) / F.sum("n").over(pair)
-    gaps = moments.filter("n > 0").select("*", x_gap.alias("x_gap"), y_gap.alias("y_gap"))
-    n, x, y = F.col("n"), F.col("x_gap"), F.col("y_gap")
+    known = moments.filter("n > 0")
+    means = {
+        f"merged_{side}": F.sum(F.col("n") * F.col(f"mean_{side}")).over(pair) / F.sum("n").over(pair) for side in "xy"
+    }
+    gaps = known.withColumns(means)
+    n = F.col("n")
+    x, y = (F.col(f"mean_{side}") - F.col(f"merged_{side}") for side in "xy")
     return gaps.groupBy("i", "j").agg(
-        F.sum("n").cast("bigint").alias("pair_rows"),
+        F.sum("n").alias("n"),
+        F.first("merged_x").alias("mean_x"),
+        F.first("merged_y").alias("mean_y"),
         F.sum(F.col("m2_x") + n * x * x).alias("m2_x"),
         F.sum(F.col("m2_y") + n * y * y).alias("m2_y"),
         F.sum(F.col("c_xy") + n * x * y).alias("c_xy"),
-        (F.min("lo_x") < F.max("hi_x")).alias("x_varies"),
-        (F.min("lo_y") < F.max("hi_y")).alias("y_varies"),
+        *[how(c).alias(c) for side in "xy" for how, c in ((F.min, f"lo_{side}"), (F.max, f"hi_{side}"))],
+    )
+
+
+def moments_of(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Moments of every column pair over the rows that have both values, one row a
+    pair; columns are cast to double first. They merge with those of other rows."""
+    numbers = as_doubles(df, columns or df.columns)
+    return merge_moments(numbers.mapInArrow(pair_moments.task_moments, pair_moments.MOMENTS))
+
+
+def pairs_of_moments(moments: DataFrame, columns: list[str]) -> DataFrame:
+    """What ``correlation_pairs`` gives, from merged moments of these columns."""
+    names = F.array(*[F.lit(c) for c in columns])
+    r = F.abs(F.try_divide(F.col("c_xy"), F.sqrt("m2_x") * F.sqrt("m2_y")))
+    varies = (F.col("lo_x") < F.col("hi_x")) & (F.col("lo_y") < F.col("hi_y"))
+    return moments.select(
+        "i",
+        "j",
+        names[F.col("i")].alias("column_i"),
+        names[F.col("j")].alias("column_j"),
+        F.col("n").cast("bigint").alias("pair_rows"),
+        F.when(varies & ~F.isnan(r), F.least(r, F.lit(1.0))).alias("r"),
     )
 
 
@@ -45,19 +71,7 @@ def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFr
     ``pair_rows``, ``r``.
     """
     columns = columns or df.columns
-    numbers = as_doubles(df, columns)
-    merged = _merge_by_pair(numbers.mapInArrow(pair_moments.task_moments, pair_moments.MOMENTS))
-    names = F.array(*[F.lit(c) for c in columns])
-    r = F.abs(F.try_divide(F.col("c_xy"), F.sqrt("m2_x") * F.sqrt("m2_y")))
-    defined = F.col("x_varies") & F.col("y_varies") & ~F.isnan(r)
-    return merged.select(
-        "i",
-        "j",
-        names[F.col("i")].alias("column_i"),
-        names[F.col("j")].alias("column_j"),
-        "pair_rows",
-        F.when(defined, F.least(r, F.lit(1.0))).alias("r"),
-    )
+    return pairs_of_moments(moments_of(df, columns), columns)
 
 
 def correlated_columns(

@@ -25,12 +25,15 @@ def label_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def label_index(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column_name``, ``label``, ``label_count``, ``label_index`` (from 0)."""
-    spark = df.sparkSession
-    columns = columns or schemas.TEXT_COLUMNS
+    return rank_labels(label_counts(df, columns or schemas.TEXT_COLUMNS))
+
+
+def rank_labels(counts: DataFrame) -> DataFrame:
+    """The index of labels that are counted, each once (``label_counts``)."""
+    spark = counts.sparkSession
     order = [F.asc("column_name"), F.desc("label_count"), F.asc("label")]
     sorted_labels = (
-        label_counts(df, columns)
-        .repartitionByRange(*order)
+        counts.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("place", F.monotonically_increasing_id())
     )

@@ -68,3 +68,48 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="stopwise-")
     return f"{base.rstrip('/')}/stopwise-{uuid.uuid4().hex}"
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The content of a small file."""
+    files, hadoop = file_system(spark, path)
+    stream = files.open(hadoop)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+class AlreadyPublished(RuntimeError):
+    """There is a file of that name."""
+
+
+def publish_text(spark: SparkSession, path: str, content: str) -> None:
+    """Make a small file appear with all its content at once: it is written under
+    another name and renamed, never over a file that is there."""
+    folder, name = path.rsplit("/", 1)
+    files, source = file_system(spark, f"{folder}/_{uuid.uuid4().hex}")
+    stream = files.create(source, False)
+    stream.write(bytearray(content.encode()))
+    stream.close()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    kind = getattr(hadoop, "Options$Rename")
+    never_over = spark._sc._gateway.new_array(kind, 1)
+    never_over[0] = kind.NONE
+    context = hadoop.FileContext.getFileContext(files.getUri(), files.getConf())
+    try:
+        context.rename(context.makeQualified(source), context.makeQualified(hadoop.Path(path)), never_over)
+    except Exception as error:
+        files.delete(source, False)
+        if exists(spark, path):
+            raise AlreadyPublished(path) from error
+        raise
+
+
+def numbered_files(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers that are names of files in ``folder``, in order."""
+    files, hadoop = file_system(spark, folder)
+    if not files.exists(hadoop):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(hadoop)]
+    return sorted(int(n) for n in names if n.isdigit())

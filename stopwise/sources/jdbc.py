@@ -28,9 +28,10 @@ def create_table_sql(table: str = schemas.DEFAULT_TABLE) -> str:
 
 def create_spark_table_sql(location: str, table: str = schemas.DEFAULT_TABLE) -> str:
     """DDL that makes the stored table at ``location`` (``record_table``) known by
-    name; ``MSCK REPAIR TABLE`` then finds its folders."""
+    name; ``MSCK REPAIR TABLE`` then finds its folders. It shows every file there is:
+    vacuum the table first if a compaction or a batch that broke off left some."""
     columns = [f"{f.name} {_SPARK_TYPES[type(f.dataType)]}" for f in schemas.table_schema().fields]
-    partitions = [*schemas.DATE_PARTITION, record_table.BATCH]
+    partitions = [record_table.BATCH, *schemas.DATE_PARTITION]
     return (
         f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(columns)}, {record_table.BATCH} STRING)"
         f" USING parquet PARTITIONED BY ({', '.join(partitions)}) LOCATION '{location}'"

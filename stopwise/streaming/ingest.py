@@ -23,16 +23,6 @@ ARRIVAL = "arrival"
 MESSAGE = "message"
 
 
-def write_rejects(rejected: DataFrame, path: str, batch: str) -> None:
-    (
-        rejected.withColumn(record_table.BATCH, F.lit(batch))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(record_table.BATCH)
-        .parquet(path)
-    )
-
-
 def store_messages(
     messages: DataFrame,
     batch: str,
@@ -41,15 +31,24 @@ def store_messages(
     rejects: str,
     staging: str | None = None,
     publish: Callable[[DataFrame], None] | None = None,
+    summaries: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> None:
     """Decode, clean and store one batch of messages.
 
     ``messages`` has ``value`` and ``arrival``; without ``arrival`` the order
-    of the rows within the batch counts. ``staging`` is overwritten. ``publish``
-    gets the accepted rows, for example to append them to a database table.
+    of the rows within the batch counts. ``staging`` is overwritten. Accepted and
+    rejected rows become visible together, as one version of the table; a batch that
+    a version has already is not stored again. ``publish`` gets the accepted rows, for
+    example to append them to a database table, also when the batch runs again.
+    ``summaries`` (see ``plans.history``) are committed with the batch.
     """
     if messages.isEmpty():
         return
+    spark = messages.sparkSession
+    if record_table.is_committed(spark, table, batch):
+        if publish is not None:
+            publish(record_table.batch_records(spark, table, batch))
+        return
     if ARRIVAL not in messages.columns:
         messages = messages.withColumn(ARRIVAL, F.monotonically_increasing_id())
     decoded = decode_messages(messages, keep=("value", ARRIVAL))
@@ -67,12 +66,11 @@ def store_messages(
     undecodable = F.when(F.col(MESSAGE).isNotNull(), F.lit(dedup.UNDECODABLE))
 
     def stored(valid: DataFrame) -> DataFrame:
-        return record_table.stored_for(valid, table, batch)
+        return record_table.stored_matches(valid, table, batch)
 
     classified = dedup.classify(processed, ARRIVAL, stored, staging, undecodable)
     accepted = dedup.accepted(classified).select(*schemas.TABLE_ORDER)
-    record_table.write_batch(accepted, table, batch)
-    write_rejects(dedup.rejects(classified), rejects, batch)
+    record_table.write_batch(accepted, table, batch, dedup.rejects(classified), rejects, summaries)
     if publish is not None:
         publish(accepted)
 
@@ -86,11 +84,15 @@ def start_ingest(
     feed: str,
     publish: Callable[[DataFrame], None] | None = None,
     trigger: dict | None = None,
+    compact_above: int | None = None,
+    summaries: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> StreamingQuery:
     """Start the stream. ``feed`` names this checkpoint's batches in the table.
 
     Use a new ``feed`` name with every new checkpoint: batch numbers start
-    again at 0 there, and equal names would replace each other's rows.
+    again at 0 there, and a batch of a name that is stored is not stored again.
+    After a batch the dates with files of more than ``compact_above`` batches
+    before it are compacted.
     """
 
     # Beside the checkpoint, so that a restart uses the same folder.
@@ -104,7 +106,11 @@ def start_ingest(
             rejects=rejects,
             staging=staging,
             publish=publish,
+            summaries=summaries,
         )
+        if compact_above is not None:
+            spark = batch_messages.sparkSession
+            record_table.compact_closed(spark, table, compact_above, open_batches=(f"{feed}-{batch_id}",))
 
     return (
         messages.writeStream.foreachBatch(handle)

@@ -1,0 +1,263 @@
+"""The stored table's versions: commits that break off, readers, filters, bounds, counts."""
+
+from collections import Counter
+
+import pytest
+from records import table_rows
+from pyspark.sql import functions as F
+
+from stopwise import schemas
+from stopwise.operators import correlation, dedup, encoding
+from stopwise.plans import history
+from stopwise.sources import record_table, table_log
+from stopwise.sources.table_log import TableLog
+
+
+class Broken(Exception):
+    pass
+
+
+def _break(monkeypatch, owner, name, after):
+    """Let a step fail before it does anything, or after it is done."""
+    step = getattr(owner, name)
+
+    def broken(*args, **kwargs):
+        if after:
+            step(*args, **kwargs)
+        raise Broken(name)
+
+    monkeypatch.setattr(owner, name, broken)
+
+
+STEPS = [
+    (record_table, "_write_rows"),
+    (record_table, "_write_rejects"),
+    (TableLog, "write_list"),
+    (record_table, "_write_filters"),
+    (TableLog, "commit"),
+    (table_log, "publish_text"),
+]
+POINTS = [(o, n, after) for o, n in STEPS for after in (False, True)]
+
+
+def _state(spark, table, version=None):
+    rejected = record_table.read_rejects(spark, table, version)
+    records = record_table.read_records(spark, table, version)
+    return (
+        Counter(tuple(r) for r in records.collect()),
+        Counter() if rejected is None else Counter(r.reason for r in rejected.collect()),
+        record_table.count_records(spark, table, version).first().record_count,
+    )
+
+
+def _store(spark, table, batch, *changes, summaries=None):
+    classified = dedup.classify(
+        table_rows(spark, *changes), "arrival", lambda valid: record_table.stored_matches(valid, table, batch)
+    )
+    record_table.write_batch(
+        dedup.accepted(classified), table, batch, dedup.rejects(classified), f"{table}-rejects", summaries
+    )
+
+
+@pytest.mark.parametrize("owner, name, after", POINTS)
+def test_a_batch_that_breaks_off_leaves_the_version_before(spark, tmp_path, monkeypatch, owner, name, after):
+    table = str(tmp_path / "t")
+    sums = {"sums": history.SUMMARIES["sums"]}
+    _store(spark, table, "b-0", {"Delay": 1.0}, {"Delay": None}, summaries=sums)
+    old = _state(spark, table)
+    batch = [{"Delay": 1.0}, {"Delay": 2.0}, {"Delay": 2.0, "RecordedAtTime_day": 2}, {"Delay": None}]
+    _break(monkeypatch, owner, name, after)
+    with pytest.raises(Broken):
+        _store(spark, table, "b-1", *batch, summaries=sums)
+    monkeypatch.undo()
+    committed = after and name in ("commit", "publish_text")
+    assert TableLog(spark, table).newest() == (2 if committed else 1)
+    new = (3, {dedup.NULL_KEY: 2, dedup.DUPLICATE_KEY: 1}, 3)
+    seen = _state(spark, table)
+    if committed:
+        assert (sum(seen[0].values()), seen[1], seen[2]) == new
+    else:
+        assert seen == old
+    _store(spark, table, "b-1", *batch, summaries=sums)  # the retry
+    seen = _state(spark, table)
+    assert (sum(seen[0].values()), seen[1], seen[2]) == new
+    assert _state(spark, table, 1) == old
+    assert {r.column_name: r.value_count for r in history.column_means(spark, table).collect()}["Delay"] == 3
+    record_table.vacuum(spark, table)
+    assert _state(spark, table) == seen
+
+
+@pytest.mark.parametrize("owner, name, after", [p for p in POINTS if p[1] != "_write_rejects"])
+def test_a_compaction_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch, owner, name, after):
+    table = str(tmp_path / "t")
+    for b in range(3):
+        _store(spark, table, f"b-{b}", {"Delay": float(b)}, {"Delay": b + 0.5})
+    old, date = _state(spark, table), tuple(table_rows(spark, {}).select(*schemas.DATE_PARTITION).first())
+    _break(monkeypatch, owner, name, after)
+    with pytest.raises(Broken):
+        record_table.compact(spark, table, date)
+    monkeypatch.undo()
+    assert _state(spark, table) == old
+    record_table.compact(spark, table, date)
+    record_table.vacuum(spark, table)
+    assert _state(spark, table) == old
+
+
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    table = str(tmp_path / "t")
+    for b in range(3):
+        _store(spark, table, f"b-{b}", {"Delay": float(b)})
+    pinned = record_table.read_records(spark, table, 2)  # read later on
+    date = tuple(table_rows(spark, {}).select(*schemas.DATE_PARTITION).first())
+    record_table.compact(spark, table, date)
+    assert sorted(r.Delay for r in pinned.collect()) == [0.0, 1.0]
+    record_table.vacuum(spark, table, versions=3)  # 2, 3 and the compacted 4
+    assert sorted(r.Delay for r in record_table.read_records(spark, table, 2).collect()) == [0.0, 1.0]
+    assert TableLog(spark, table).versions() == [2, 3, 4]
+
+
+def test_two_writers_cannot_commit_one_version(spark, tmp_path):
+    log = TableLog(spark, str(tmp_path / "t"))
+    assert log.commit(0, []) == 1
+    with pytest.raises(table_log.VersionTaken):
+        log.commit(0, [])
+    assert log.versions() == [1]
+
+
+def test_many_commits_merge_their_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(table_log, "_MOST_LISTS", 2)
+    table = str(tmp_path / "t")
+    date = tuple(table_rows(spark, {}).select(*schemas.DATE_PARTITION).first())
+    for b in range(4):
+        _store(spark, table, f"b-{b}", {"Delay": float(b)}, {"Delay": None})
+        if b == 2:
+            record_table.compact(spark, table, date)
+    log = TableLog(spark, table)
+    assert len(log.lists(log.newest())) <= 2
+    assert sorted(r.Delay for r in record_table.read_records(spark, table).collect()) == [0.0, 1.0, 2.0, 3.0]
+    assert record_table.read_rejects(spark, table).count() == 4
+    assert all(record_table.is_committed(spark, table, f"b-{b}") for b in range(4))
+    assert not record_table.is_committed(spark, table, "b-4")
+    _store(spark, table, "b-9", {"Delay": 1.0})
+    assert record_table.count_records(spark, table).first().record_count == 4
+
+
+def _opened(spark, table, rows):
+    return len(record_table.stored_matches(rows, table, "new").inputFiles())
+
+
+def test_new_keys_open_no_stored_file(spark, tmp_path):
+    """20 files of one date and hour, 5,000 new keys: nothing is opened, by and large; known keys
+    open their own files."""
+    table = str(tmp_path / "t")
+    for b in range(20):
+        rows = table_rows(spark, {}).crossJoin(spark.range(500).select((F.col("id") + 1000 * b).cast("double").alias("d")))
+        record_table.write_batch(rows.withColumn("Delay", F.col("d")).drop("d"), table, f"b-{b}")
+    some = spark.range(5000).select((F.col("id") + 0.5).alias("d"))
+    new = table_rows(spark, {}).crossJoin(some).withColumn("Delay", F.col("d")).drop("d")
+    assert len(record_table.stored_for(new, table, "new").inputFiles()) == 20
+    assert _opened(spark, table, new) <= 1
+    assert _opened(spark, table, new.unionByName(table_rows(spark, {"Delay": 3007.0}, {"Delay": 7007.0}))) <= 3
+    known = record_table.stored_matches(table_rows(spark, {"Delay": 3007.0}), table, "new")
+    assert len(known.inputFiles()) == 1 and known.filter("Delay = 3007").count() == 1
+    date = tuple(table_rows(spark, {}).select(*schemas.DATE_PARTITION).first())
+    record_table.compact(spark, table, date)
+    record_table.vacuum(spark, table)
+    assert _opened(spark, table, new) == 0
+    assert record_table.stored_matches(table_rows(spark, {"Delay": 19_499.0}), table, "new").filter("Delay = 19499").count() == 1
+
+
+def test_filters_take_both_zeros_for_one(spark, tmp_path):
+    table = str(tmp_path / "t")
+    record_table.write_batch(table_rows(spark, {"Delay": 0.0}), table, "b-0")
+    assert record_table.stored_matches(table_rows(spark, {"Delay": -0.0}), table, "b-1").count() == 1
+
+
+def _scanned_rows(df):
+    """Rows the file scans of a frame gave, after row groups were left out."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        again = df.select("*")
+        again.collect()
+        leaves = again._jdf.queryExecution().executedPlan().collectLeaves()
+        return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_newest_rows_of_one_large_date_read_few_row_groups(spark, tmp_path):
+    table = str(tmp_path / "t")
+    spark.conf.set("parquet.block.size", "20000")
+    try:
+        seconds = spark.range(40_000).select(
+            (F.col("id") % 24).cast("int").alias("h"),
+            (F.col("id") / 24 % 60).cast("int").alias("m"),
+            (F.col("id") % 7919).cast("double").alias("d"),
+        )
+        rows = table_rows(spark, {}).crossJoin(seconds)
+        rows = rows.withColumns({"RecordedAtTime_hour": F.col("h"), "RecordedAtTime_minute": F.col("m"), "Delay": F.col("d")})
+        record_table.write_batch(rows.drop("h", "m", "d"), table, "b-0")
+    finally:
+        spark.conf.unset("parquet.block.size")
+    newest = record_table.latest_records(spark, table, 100)
+    expected = record_table.read_records(spark, table).orderBy(
+        F.desc("RecordedAtTime_hour"), F.desc("RecordedAtTime_minute"), F.asc("Delay")
+    )
+    assert [r.Delay for r in newest.collect()] == [r.Delay for r in expected.limit(100).collect()]
+    assert _scanned_rows(newest) < 4_000  # one hour of 24 holds 1,667
+
+
+def test_counts_open_no_file(spark, tmp_path):
+    table = str(tmp_path / "t")
+    assert record_table.count_records(spark, table).first().record_count == 0
+    _store(spark, table, "b-0", {"Delay": 1.0}, {"Delay": 2.0, "RecordedAtTime_day": 4}, {"Delay": None})
+    counted = record_table.count_records(spark, table)
+    assert counted.first().record_count == 2
+    assert all("_versions" in f for f in counted.inputFiles())
+
+
+def _as_set(df):
+    return {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()}
+
+
+def test_summaries_equal_a_full_scan(spark, tmp_path):
+    """After redelivery, a batch that ran twice, compaction and merging."""
+    table = str(tmp_path / "t")
+    batches = [
+        [{"Delay": float(i * b), "RecordedAtTime_hour": i % 24, "VehicleRef": f"V{i % 4}", "DirectionRef": i % 3 or None} for i in range(1, 30)]
+        for b in (1, 2, 3)
+    ]
+    for n, changes in enumerate([*batches, batches[0]]):
+        for _ in range(2 if n == 1 else 1):
+            _store(spark, table, f"b-{n}", *changes, summaries=history.SUMMARIES)
+    date = tuple(table_rows(spark, {}).select(*schemas.DATE_PARTITION).first())
+    for step in (lambda: None, lambda: record_table.compact(spark, table, date), lambda: history.merge(spark, table)):
+        step()
+        records = record_table.read_records(spark, table)
+        pairs = correlation.correlation_pairs(records.select(*schemas.FEATURE_ORDER))
+        assert _as_set(history.correlation_pairs(spark, table)) == _as_set(pairs)
+        assert _as_set(history.label_index(spark, table)) == _as_set(encoding.label_index(records))
+        means = records.agg(*[F.avg(c).alias(c) for c in history.NUMBERS]).first()
+        found = {r.column_name: r.mean for r in history.column_means(spark, table).collect()}
+        assert found == pytest.approx({c: means[c] for c in history.NUMBERS})
+    pinned = history.label_index(spark, table, 1)  # tied to the version
+    assert _as_set(pinned) == _as_set(encoding.label_index(record_table.read_records(spark, table, 1)))
+
+
+def test_summaries_of_an_empty_table(spark, tmp_path):
+    table = str(tmp_path / "t")
+    assert history.column_means(spark, table).isEmpty()
+    assert history.correlation_pairs(spark, table).isEmpty()
+    assert history.label_index(spark, table).isEmpty()
+
+
+def test_crowded_dates_are_compacted(spark, tmp_path):
+    table = str(tmp_path / "t")
+    for b in range(4):
+        days = (1, 2) if b < 3 else (2,)
+        _store(spark, table, f"b-{b}", *[{"Delay": float(b), "RecordedAtTime_day": d} for d in days])
+    before = _state(spark, table)
+    assert record_table.compact_closed(spark, table, 2, open_batches=("b-3",)) == 2
+    assert record_table.compact_closed(spark, table, 2) == 0
+    assert _state(spark, table) == before
