@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from stopwise.operators import (  # noqa: E402
     ranking,
     readiness,
 )
-from stopwise.plans import delay_model, lanes  # noqa: E402
+from stopwise.plans import delay_model, history, lanes  # noqa: E402
 from stopwise.session import shared_folder  # noqa: E402
 from stopwise.sources import csv_files, event_feed, messages, record_table  # noqa: E402
 from stopwise.streaming import ingest  # noqa: E402
@@ -289,6 +290,62 @@ def latest_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_table.latest_records(spark, folder, 100)
 
 
+def _in_batches(spark: SparkSession, sf_dir: str, *summaries: str) -> str:
+    """A table stored in three batches, the last one a redelivery that runs twice, its
+    newest date compacted, its ``summaries`` merged."""
+    folder = shared_folder(spark)
+    rows = _table_rows(_raw_in_order(spark, sf_dir))
+    even, odd = (rows.filter(F.col(ARRIVAL) % 2 == n) for n in (0, 1))
+    for name, batch in (("b-0", even), ("b-1", odd), ("b-2", even), ("b-2", even)):
+        classified = dedup.classify(
+            batch, ARRIVAL, lambda valid, name=name: record_table.stored_matches(valid, folder, name)
+        )
+        record_table.write_batch(
+            dedup.accepted(classified),
+            folder,
+            name,
+            dedup.rejects(classified),
+            f"{folder}-rejects",
+            {n: history.SUMMARIES[n] for n in summaries},
+        )
+    newest = ranking.latest(record_table.latest_records(spark, folder, 1), 1).first()
+    record_table.compact(spark, folder, tuple(newest[c] for c in schemas.DATE_PARTITION))
+    history.merge(spark, folder, summaries)
+    return folder
+
+
+def records_at_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of the records of every version of a table that was stored in batches
+    and compacted, and how many rejects the version has."""
+    folder = _in_batches(spark, sf_dir)
+    versions = []
+    for version in (1, 2, 3, 4):
+        rejected = record_table.read_rejects(spark, folder, version).count()
+        keys = record_table.read_records(spark, folder, version).select(*schemas.KEY)
+        versions.append(keys.withColumns({"version": F.lit(version), "rejects": F.lit(rejected).cast("long")}))
+    return reduce(DataFrame.unionByName, versions)
+
+
+def stored_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of stored records, from the table's lists alone."""
+    return record_table.count_records(spark, _in_batches(spark, sf_dir))
+
+
+def history_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the stored columns of numbers, from the batches' sums."""
+    return _rounded(history.column_means(spark, _in_batches(spark, sf_dir, "sums")), ["mean"])
+
+
+def history_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of the stored columns, from the batches' moments."""
+    return _rounded(history.correlation_pairs(spark, _in_batches(spark, sf_dir, "moments")), ["r"])
+
+
+def history_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label index of the stored records, from the batches' counts."""
+    return history.label_index(spark, _in_batches(spark, sf_dir, "labels"))
+
+
 def oldest_of_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.oldest_of_latest(_accepted(spark, sf_dir), 100, 5)
 
@@ -434,6 +491,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         drop_empty_rows,
         latest_n,
         latest_stored,
+        records_at_version,
+        stored_count,
+        history_means,
+        history_pairs,
+        history_labels,
         oldest_of_latest,
         label_index,
         label_encode,

@@ -367,6 +367,26 @@ STORED_PAIRS = f"""
 """
 
 
+# Versions of a table stored in batches: even arrivals, odd ones, even ones again; then
+# a compaction, which changes nothing.
+BATCHES = f"""
+ versions as (select 1 as version union all select 2 union all select 3 union all select 4),
+ delivered as (select *, arrival % 2 as half from checked),
+ ordered as (select *, row_number() over (partition by broken, {_KEY} order by half, arrival) as turn from delivered),
+ kept as (select * from ordered where broken is null and turn = 1),
+ refused as (select half, count(*) as n from ordered where broken is not null or turn > 1 group by half),
+ again as (select count(*) as n from checked where arrival % 2 = 0),
+ refusals as (select version, cast((select coalesce(sum(n), 0) from refused where half < version)
+   + case when version > 2 then (select n from again) else 0 end as bigint) as rejects from versions)
+"""
+_STORED = ", ".join("cast(Delay as double) as Delay" if c == "Delay" else c for c in KEY)
+_NUMBERS = [c for c in TABLE_ORDER if c not in TEXT_COLUMNS]
+_MEANS = " union all ".join(
+    f"select '{c}' as column_name, count({c}) as value_count, round(avg(cast({c} as double)), 6) as mean from accepted"
+    for c in _NUMBERS
+)
+
+
 def oracle_sql() -> dict[str, str]:
     accepted = f"{_with(*_ACCEPTED)} select {_TABLE_NAMES} from accepted"
     redelivered = f"{_with(*_REDELIVERED)} select {_TABLE_NAMES} from accepted"
@@ -417,6 +437,13 @@ def oracle_sql() -> dict[str, str]:
             and ExpectedArrivalTime is null and ScheduledArrivalTime is null)""",
         "latest_n": latest,
         "latest_stored": latest,
+        "records_at_version": f"""{_with(*_ACCEPTED, BATCHES)} select {_STORED}, version, rejects
+            from kept join refusals on half < version""",
+        "stored_count": f"{_with(*_ACCEPTED)} select count(*) as record_count from accepted",
+        "history_means": f"{_with(*_ACCEPTED)} {_MEANS}",
+        "history_pairs": f"""{_with(*_ACCEPTED, STORED_PAIRS)} select cast(i as int) as i,
+            cast(j as int) as j, column_i, column_j, pair_rows, round(r, 6) as r from pairs""",
+        "history_labels": f"{_with(*_ACCEPTED, LABELS)} select * from labels",
         "oldest_of_latest": f"""{_with(*_ACCEPTED)}, newest as (select {_TABLE_NAMES} from accepted
             order by {_NEWEST} limit 100) select * from newest order by {_OLDEST} limit 5""",
         "label_index": f"{_with(*_ACCEPTED, LABELS)} select * from labels",

@@ -7,6 +7,8 @@ again is not counted twice; whoever reads them merges those of a version.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +77,10 @@ def label_index(spark: SparkSession, table: str, version: int | None = None) ->
     return encoding.rank_labels(_merged_labels(runs))
 
 
-def merge(spark: SparkSession, table: str) -> None:
+_MERGES = {"sums": _merged_sums, "moments": lambda m: correlation.merge_moments(m).coalesce(1), "labels": _merged_labels}
+
+
+def merge(spark: SparkSession, table: str, names: Iterable[str] = tuple(SUMMARIES)) -> None:
     """Bring the summaries of all batches together, so that readers open few files."""
-    merges = {"sums": _merged_sums, "moments": lambda m: correlation.merge_moments(m).coalesce(1), "labels": _merged_labels}
-    for name, merged in merges.items():
-        record_table.merge_summaries(spark, table, name, merged)
+    for name in names:
+        record_table.merge_summaries(spark, table, name, _MERGES[name])

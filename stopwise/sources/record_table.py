@@ -288,18 +288,20 @@ def latest_records(spark: SparkSession, table: str, n: int = 100, version: int |
             break
     if bound is None:
         return _read(spark, table, []).select(*schemas.TABLE_ORDER)
-    files = zones.filter(F.col("last") >= bound).select("path").distinct()
-    rows = _read(spark, table, sorted(r.path for r in files.collect()))
-    return latest(rows.filter(_not_before(bound)).select(*schemas.TABLE_ORDER), n)
+    day = _TIME["day"]
+    files = zones.filter(F.col("last") >= bound).select("path", F.floor(F.col("last") / day).alias("date")).distinct().collect()
+    # The bound's own date by its clock, which reaches the row groups; all of later dates.
+    same = _read(spark, table, sorted(r.path for r in files if r.date == bound // day)).filter(_not_before(bound))
+    later = _read(spark, table, sorted(r.path for r in files if r.date > bound // day))
+    rows = later.unionByName(same) if any(r.date > bound // day for r in files) else same
+    return latest(rows.select(*schemas.TABLE_ORDER), n)
 
 
 def _not_before(bound: int) -> Column:
-    """Records from a time on, in comparisons of columns that reach the scan."""
-    parts = [bound // factor % (100 if factor < _TIME["year"] else 1 << 62) for factor in _TIME.values()]
-    after = F.col(schemas.RECORDED_PARTS[-1]) >= parts[-1]
-    for name, value in reversed([*zip(schemas.RECORDED_PARTS[:-1], parts[:-1])]):
-        after = (F.col(name) > value) | ((F.col(name) == value) & after)
-    return after
+    """Records of the bound's date from its time on."""
+    hour, minute, second = (F.col(c) for c in schemas.RECORDED_PARTS[3:])
+    h, m, s = (bound // _TIME[p] % 100 for p in schemas.CLOCK_PARTS)
+    return (hour > h) | ((hour == h) & ((minute > m) | ((minute == m) & (second >= s))))
 
 
 def compact(spark: SparkSession, table: str, date: tuple[int, int, int], open_batches: tuple[str, ...] = ()) -> None:
