@@ -1,5 +1,8 @@
+import csv
 import gzip
 import io
+import random
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -63,3 +66,59 @@ def test_every_file_has_its_own_header(spark, tmp_path):
 
 def test_no_files(spark, tmp_path):
     assert csv_files.read_raw_csv(spark, str(tmp_path)).count() == 0
+
+
+def _read_in_ranges(spark, path, size):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, str(size))
+        df = csv_files.read_text_csv(spark, str(path))
+        return df.rdd.getNumPartitions(), Counter(tuple(r) for r in df.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def _random_csv(seed, rows=160):
+    """Records of three fields with line breaks, commas and doubled quotes in quotes."""
+    rng = random.Random(seed)
+    inside = ["x", "long words here", ",", "\n", "\n\n", '"', "é", "z,y\n"]
+    records = [["".join(rng.choice(inside) for _ in range(rng.randint(0, 6))) for _ in range(3)] for _ in range(rows)]
+    for n in range(0, rows, 5):
+        records[n] = [f"plain {n}", 'unquoted 5" mark', str(n)]  # a quote that opens nothing
+    out = io.StringIO()
+    for n, r in enumerate(records):
+        if n % 5:
+            csv.writer(out, lineterminator="\n", quoting=csv.QUOTE_ALL).writerow(r)
+        else:
+            out.write(",".join(r) + "\n")
+    return "a,b,c\n" + out.getvalue(), Counter(tuple(v or None for v in r) for r in records)
+
+
+@pytest.mark.parametrize("size", [37, 300, 1 << 20])
+def test_records_over_several_ranges(spark, tmp_path, size):
+    """Ranges that begin in the middle of fields, and some that lie wholly inside one."""
+    text, expected = _random_csv(size)
+    text += '"' + "inside\n" * 60 + '",last,1\n'
+    expected[("inside\n" * 60, "last", "1")] += 1
+    (tmp_path / "x.csv").write_text(text)
+    tasks, rows = _read_in_ranges(spark, tmp_path, size)
+    assert Counter({tuple(v or None for v in r): n for r, n in rows.items()}) == expected
+    assert tasks > 5 or size > 300
+
+
+def test_headers_over_lines_and_blank_lines_before(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('\n\n"a\nb",c\n1,"x\ny"\n\n2,z,too many\n3\n')
+    (tmp_path / "y.csv").write_text('\nc,d\n"5\n6",7\n')
+    _, rows = _read_in_ranges(spark, tmp_path, 11)
+    columns = csv_files.read_text_csv(spark, str(tmp_path)).columns
+    assert sorted(columns) == ["a\nb", "c", "d"]
+    named = Counter(tuple(sorted((c, v) for c, v in zip(columns, r) if v is not None)) for r in rows)
+    assert named == Counter([(("a\nb", "1"), ("c", "x\ny")), (("a\nb", "3"),), (("c", "5\n6"), ("d", "7"))])
+
+
+def test_a_quote_that_is_never_closed(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b\n1,2\n3,"open\nto the\nend\n')
+    _, rows = _read_in_ranges(spark, tmp_path, 9)
+    assert rows[("1", "2")] == 1 and sum(rows.values()) <= 2
