@@ -457,7 +457,7 @@ def oracle_sql() -> dict[str, str]:
         "feature_matrix": f"""{_with(*_ACCEPTED, LABELS, SPLIT)} select {_KEY},
             {_select([_feature(c) for c in TABLE_ORDER if c != 'Delay'])} from accepted""",
         "train_and_score": f"""{_with(*_ACCEPTED, SPLIT)} select {_KEY}, true as scored,
-            true as within_labels, true as same_when_loaded from held_out""",
+            true as within_labels, true as same_when_loaded, true as beats_mean from held_out""",
         "first_report": f"""{_with(*_ACCEPTED)}, newest as (select {_TABLE_NAMES} from accepted
             order by {_NEWEST} limit 100), last as (select * from newest order by {_OLDEST} limit 5)
             select VehicleRef as "Vehicle Reference", NextStopPointName as "Next Stop Point",

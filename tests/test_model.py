@@ -133,11 +133,54 @@ def test_selected_columns_are_no_features(records, tmp_path):
     assert "DestinationCoordinates" in dm.train(twin, str(tmp_path / "n"), trees=1).inputs
 
 
-def test_bounded_rows_leave_labels_and_split_whole(records, tmp_path):
-    few = dm._bounded(records, 40, dm.SEED).count()
-    assert 20 <= few <= 65 and dm._bounded(records, 150, dm.SEED).count() == 150
-    model = dm.train(records, str(tmp_path / "m"), max_rows=40, trees=1)
+def test_trees_draw_their_own_rows_from_all(records, tmp_path):
+    model = dm.train(records, str(tmp_path / "m"), max_rows=40, trees=6, max_depth=2)
     assert model.labels.filter("column_name = 'VehicleRef'").count() == 7
+    forest = model.pipeline.stages[-1]
+    share = 40 / dm.split(records)[0].count()
+    assert forest.getOrDefault("subsamplingRate") == pytest.approx(share)
+    assert len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) > 1
+    # Means that fill gaps come from the whole training part.
+    means = model.pipeline.stages[1].surrogateDF.first()
+    expected = dm.split(records)[0].agg(F.avg("DirectionRef")).first()[0]
+    assert means["DirectionRef_number"] == pytest.approx(expected)
+
+
+def test_a_column_with_few_values_stays_a_feature(records, tmp_path):
+    """A bound on the rows of a tree does not take away columns."""
+    first = F.min(F.struct("RecordedAtTime_hour", "RecordedAtTime_minute"))
+    one = dm.split(records)[0].agg(first.alias("k")).first()["k"]
+    only = (F.col("RecordedAtTime_hour") == one[0]) & (F.col("RecordedAtTime_minute") == one[1])
+    sparse = records.withColumn("DirectionRef", F.when(only, 5))
+    assert "DirectionRef" in dm.train(sparse, str(tmp_path / "m"), max_rows=2, trees=1).inputs
+
+
+@pytest.mark.parametrize("owner, name", [(dm.encoding, "write_index"), (dm, "_save"), (dm, "publish_text")])
+def test_training_that_breaks_off_leaves_the_model_before(spark, records, tmp_path, monkeypatch, owner, name):
+    path = str(tmp_path / "m")
+    model = dm.train(records, path, trees=1, max_depth=2, table_version=7)
+    before = _predictions(model, records)
+    step = getattr(owner, name)
+
+    def broken(*args, **kwargs):
+        if name != "publish_text":
+            step(*args, **kwargs)
+        raise OSError("lost")
+
+    monkeypatch.setattr(owner, name, broken)
+    with pytest.raises(OSError):
+        dm.train(records.withColumn("Delay", F.lit(1.0)), path, trees=1)
+    monkeypatch.undo()
+    assert _predictions(dm.load(spark, path), records) == before
+    assert dm.published(spark, path)["table_version"] == 7
+    held = dm.load(spark, path)
+    dm.train(records.withColumn("Delay", F.lit(1.0)), path, trees=1)
+    assert set(_predictions(dm.load(spark, path), records).values()) == {1.0}
+    assert _predictions(held, records) == before  # whoever holds the older one goes on with it
+
+
+def test_error_is_below_that_of_the_mean(records, trained):
+    assert dm.holdout_error(trained[1], records) < dm.mean_error(records)
 
 
 def test_training_leaves_no_snapshot(records, tmp_path, monkeypatch):
