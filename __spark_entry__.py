@@ -247,6 +247,29 @@ def stream_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream(spark, once, _second_delivery(once))
 
 
+def stream_pace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages, accepted and rejected rows of every micro-batch of a replay that is
+    limited to one file a batch."""
+    folder = shared_folder(spark)
+    raw = _raw_in_order(spark, sf_dir)
+    for file in range(2):  # one after the other, as the stream takes files by age
+        encoded = messages.encode_messages(raw.filter(F.col(ARRIVAL) % 2 == file)).coalesce(1)
+        messages.write_message_files(encoded, f"{folder}/in")
+    seen: dict[int, dict[str, int]] = {}
+    query = ingest.start_ingest(
+        messages.read_message_files(spark, f"{folder}/in", max_files_per_trigger=1),
+        table=f"{folder}/table",
+        rejects=f"{folder}/rejects",
+        checkpoint=f"{folder}/checkpoint",
+        feed="pace",
+        trigger={"availableNow": True},
+        progress=seen.__setitem__,
+    )
+    query.awaitTermination()
+    rows = [(n, *(seen[n][c] for c in ("messages", "accepted", "rejected"))) for n in sorted(seen)]
+    return spark.createDataFrame(rows, "batch long, messages long, accepted long, rejected long")
+
+
 def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(correlation.correlation_pairs(_analysis(spark, sf_dir)), ["r"])
 
@@ -484,6 +507,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         redelivery_rejects,
         stream_ingest,
         stream_redelivery,
+        stream_pace,
         correlation_pairs,
         correlated_columns,
         selected_features,

@@ -421,6 +421,10 @@ def oracle_sql() -> dict[str, str]:
             from classified where reason is not null""",
         "stream_ingest": accepted,
         "stream_redelivery": redelivered,
+        "stream_pace": f"""{_with(*_ACCEPTED)} select arrival % 2 as batch, count(*) as messages,
+            (select count(*) from classified c where c.arrival % 2 = bus.arrival % 2 and reason is null) as accepted,
+            (select count(*) from classified c where c.arrival % 2 = bus.arrival % 2 and reason is not null) as rejected
+            from bus group by all""",
         "correlation_pairs": f"""{_with(*_PROCESSED_IMPUTED, PAIRS)} select cast(i as int) as i,
             cast(j as int) as j, column_i, column_j, pair_rows, round(r, 6) as r from pairs""",
         "correlated_columns": f"""{_with(*_PROCESSED_IMPUTED, PAIRS)}

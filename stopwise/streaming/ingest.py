@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,7 +32,7 @@ def store_messages(
     staging: str | None = None,
     publish: Callable[[DataFrame], None] | None = None,
     summaries: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
-) -> None:
+) -> dict[str, int] | None:
     """Decode, clean and store one batch of messages.
 
     ``messages`` has ``value`` and ``arrival``; without ``arrival`` the order
@@ -41,6 +41,10 @@ def store_messages(
     a version has already is not stored again. ``publish`` gets the accepted rows, for
     example to append them to a database table, also when the batch runs again.
     ``summaries`` (see ``plans.history``) are committed with the batch.
+
+    Returns how many ``messages`` there were, how many rows ``complete`` enough to be
+    judged, and how many of these were ``accepted`` and ``rejected``, as observed while
+    they were written; None for a batch without messages or one stored before.
     """
     if messages.isEmpty():
         return
@@ -49,6 +53,8 @@ def store_messages(
         if publish is not None:
             publish(record_table.batch_records(spark, table, batch))
         return
+    received, seen = Observation(), Observation()
+    messages = messages.observe(received, F.count(F.lit(1)).alias("messages"))
     if ARRIVAL not in messages.columns:
         messages = messages.withColumn(ARRIVAL, F.monotonically_increasing_id())
     decoded = decode_messages(messages, keep=("value", ARRIVAL))
@@ -70,9 +76,12 @@ def store_messages(
 
     classified = dedup.classify(processed, ARRIVAL, stored, staging, undecodable)
     accepted = dedup.accepted(classified).select(*schemas.TABLE_ORDER)
-    record_table.write_batch(accepted, table, batch, dedup.rejects(classified), rejects, summaries)
+    observed = classified.observe(seen, F.count(F.lit(1)).alias("complete"), F.count("reason").alias("rejected"))
+    kept = dedup.accepted(observed).select(*schemas.TABLE_ORDER)
+    record_table.write_batch(kept, table, batch, dedup.rejects(classified), rejects, summaries)
     if publish is not None:
         publish(accepted)
+    return {**received.get, **seen.get, "accepted": seen.get["complete"] - seen.get["rejected"]}
 
 
 def start_ingest(
@@ -86,20 +95,22 @@ def start_ingest(
     trigger: dict | None = None,
     compact_above: int | None = None,
     summaries: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    progress: Callable[[int, dict[str, int]], None] | None = None,
 ) -> StreamingQuery:
     """Start the stream. ``feed`` names this checkpoint's batches in the table.
 
     Use a new ``feed`` name with every new checkpoint: batch numbers start
     again at 0 there, and a batch of a name that is stored is not stored again.
     After a batch the dates with files of more than ``compact_above`` batches
-    before it are compacted.
+    before it are compacted. ``progress`` gets the number of every batch that was
+    stored and what ``store_messages`` observed of it.
     """
 
     # Beside the checkpoint, so that a restart uses the same folder.
     staging = f"{checkpoint.rstrip('/')}-staging"
 
     def handle(batch_messages: DataFrame, batch_id: int) -> None:
-        store_messages(
+        seen = store_messages(
             batch_messages,
             f"{feed}-{batch_id}",
             table=table,
@@ -108,6 +119,8 @@ def start_ingest(
             publish=publish,
             summaries=summaries,
         )
+        if progress is not None and seen is not None:
+            progress(batch_id, seen)
         if compact_above is not None:
             spark = batch_messages.sparkSession
             record_table.compact_closed(spark, table, compact_above, open_batches=(f"{feed}-{batch_id}",))
