@@ -96,6 +96,13 @@ def is_committed(spark: SparkSession, table: str, batch: str) -> bool:
     return not entries.filter((F.col("kind") == REJECTS) & (F.col("batch") == batch)).isEmpty()
 
 
+def batch_counts(spark: SparkSession, table: str, batch: str) -> dict[str, int]:
+    """How many rows of a batch were ``accepted`` and ``rejected``, from the lists."""
+    entries = TableLog(spark, table).entries().filter(F.col("batch") == batch)
+    counted = {r.kind: r.n for r in entries.groupBy("kind").agg(F.sum("row_count").alias("n")).collect()}
+    return {"accepted": counted.get(ROWS) or 0, "rejected": counted.get(REJECTS) or 0}
+
+
 def batch_records(spark: SparkSession, table: str, batch: str) -> DataFrame:
     """The stored records of a batch that no compaction has taken in yet."""
     files = _row_files(TableLog(spark, table).entries()).filter(F.col("batch") == batch)

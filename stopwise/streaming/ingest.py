@@ -42,9 +42,9 @@ def store_messages(
     example to append them to a database table, also when the batch runs again.
     ``summaries`` (see ``plans.history``) are committed with the batch.
 
-    Returns how many ``messages`` there were, how many rows ``complete`` enough to be
-    judged, and how many of these were ``accepted`` and ``rejected``, as observed while
-    they were written; None for a batch without messages or one stored before.
+    Returns how many ``messages`` were read, as observed on the way, and how many rows
+    were ``accepted`` and ``rejected``, as committed; incomplete ones are neither. None
+    for a batch without messages or one stored before.
     """
     if messages.isEmpty():
         return
@@ -53,7 +53,7 @@ def store_messages(
         if publish is not None:
             publish(record_table.batch_records(spark, table, batch))
         return
-    received, seen = Observation(), Observation()
+    received = Observation()  # counts while the rows are staged
     messages = messages.observe(received, F.count(F.lit(1)).alias("messages"))
     if ARRIVAL not in messages.columns:
         messages = messages.withColumn(ARRIVAL, F.monotonically_increasing_id())
@@ -76,12 +76,10 @@ def store_messages(
 
     classified = dedup.classify(processed, ARRIVAL, stored, staging, undecodable)
     accepted = dedup.accepted(classified).select(*schemas.TABLE_ORDER)
-    observed = classified.observe(seen, F.count(F.lit(1)).alias("complete"), F.count("reason").alias("rejected"))
-    kept = dedup.accepted(observed).select(*schemas.TABLE_ORDER)
-    record_table.write_batch(kept, table, batch, dedup.rejects(classified), rejects, summaries)
+    record_table.write_batch(accepted, table, batch, dedup.rejects(classified), rejects, summaries)
     if publish is not None:
         publish(accepted)
-    return {**received.get, **seen.get, "accepted": seen.get["complete"] - seen.get["rejected"]}
+    return {**received.get, **record_table.batch_counts(spark, table, batch)}
 
 
 def start_ingest(
