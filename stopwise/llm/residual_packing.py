@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +29,7 @@ NEARLY_FULL = 0.98  # bins from this share of the capacity on never rise
 # A bin's number: its group above these bits; a sequence's: its level above those.
 _GROUP_SHIFT, _LEVEL_SHIFT = 24, 56
 _BIN = "bin long, offset long, fill long, rises boolean"
+_BIN_NAMES = ["bin", "offset", "fill", "rises"]
 
 
 def spans_of(tokens: int, capacity: int) -> list[tuple[int, int]]:
@@ -123,16 +123,17 @@ def _packer(number: str, length: str, columns: list[str], capacity: int, rising:
     the bin holds, and whether the bin rises: the ``rising`` emptiest of those that
     are not nearly full do."""
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(number).reset_index(drop=True)
-        bins, offsets, held = best_fit(frame[length].to_numpy(np.int64), capacity)
+    def pack(items: pa.Table) -> pa.Table:
+        items = items.sort_by(number)
+        bins, offsets, held = best_fit(items.column(length).to_numpy(), capacity)
         fill = np.array(held, dtype=np.int64)
         emptiest = np.argsort(fill, kind="stable")[:rising]
         rises = np.zeros(len(fill), dtype=bool)
         rises[emptiest] = fill[emptiest] < NEARLY_FULL * capacity
-        found = frame[columns].copy()
-        found["bin"] = (frame["group"].to_numpy(np.int64) << _GROUP_SHIFT) + bins
-        found["offset"], found["fill"], found["rises"] = offsets, fill[bins], rises[bins]
+        numbered = (items.column("group").to_numpy().astype(np.int64) << _GROUP_SHIFT) + bins
+        found = items.select(columns)
+        for name, values in zip(_BIN_NAMES, (numbered, offsets, fill[bins], rises[bins]), strict=True):
+            found = found.append_column(name, pa.array(values))
         return found
 
     return pack
@@ -162,7 +163,7 @@ def assign(
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     dealt = loose.withColumn("group", F.pmod(F.xxhash64("_row"), F.lit(groups)))
     pack = _packer("_row", "length", names, capacity, rising)
-    leaves = stored(dealt.groupBy("group").applyInPandas(pack, f"{kinds}, {_BIN}"))
+    leaves = stored(dealt.groupBy("group").applyInArrow(pack, f"{kinds}, {_BIN}"))
 
     pack = _packer("child", "amount", ["child"], capacity, rising)
     levels, level = [], leaves
@@ -171,7 +172,7 @@ def assign(
         risen = level.filter("rises and offset = 0").select(F.col("bin").alias("child"), F.col("fill").alias("amount"))
         # The group below is in the upper bits of its bins' numbers.
         met = risen.withColumn("group", F.pmod(F.shiftright("child", _GROUP_SHIFT), F.lit(groups)))
-        level = stored(met.groupBy("group").applyInPandas(pack, f"child long, {_BIN}"))
+        level = stored(met.groupBy("group").applyInArrow(pack, f"child long, {_BIN}"))
         levels.append(level)
 
     placed = None  # where the bins that rose to a level lie in the end
