@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -65,6 +66,10 @@ def worker_store(name: str) -> dict:
     if getattr(holder, "owner", None) != name:
         holder.owner, holder.store = name, {}
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # the C library's own way to give memory back
+            trim(0)
     return holder.store
 
 

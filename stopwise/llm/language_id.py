@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import pick, text_slices, texts_of
+from stopwise.llm.common import pick, text_slices, texts_of, worker_store
 
 UNDETERMINED = "und"
 MAX_ROWS = 2000  # labelled rows the model is fitted on
@@ -138,6 +138,7 @@ def fit(
         chosen = labelled.filter(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000_000)) < share)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("language_id")  # what another operator left in the worker goes
         for batch in batches:
             for part in text_slices(batch, 0):
                 rows = [
@@ -188,6 +189,7 @@ def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("language_id")  # what another operator left in the worker goes
         for batch in batches:
             for part in text_slices(batch, 0):
                 names, scores, accepted = [], [], []
@@ -202,15 +204,17 @@ def predict(df: DataFrame, model: Model | None, key: str = "doc_id", text: str =
                     names.append(model.languages[best])
                     scores.append(min(1.0, float(shares[best])))
                     accepted.append(scores[-1] >= model.least_share)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())],
-                    names=[*part.schema.names, "lang_pred", "score", "accepted"],
-                )
-
-    picked = pick(df, text=text, key=key, **{f"keep{i}": c for i, c in enumerate(keep)})
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema)
-    done = picked.mapInArrow(run, f"{fields}, lang_pred string, score double, accepted boolean")
-    kept = [F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)]
+                found = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns[back:], *found], names=returned)
+
+    # The text goes to Python once, and comes back only if it is kept.
+    others = [c for c in keep if c != text]
+    picked = pick(df, text=text, key=key, **{f"keep{i}": c for i, c in enumerate(others)})
+    back = 0 if text in keep else 1
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in picked.schema][back:]
+    returned = [*picked.columns[back:], "lang_pred", "score", "accepted"]
+    done = picked.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", "accepted boolean"]))
+    kept = [F.col("text" if c == text else f"keep{others.index(c)}").alias(c) for c in keep]
     return done.select(F.col("key").alias(key), *kept, "lang_pred", "score", "accepted")
 
 
