@@ -25,7 +25,8 @@ from stopwise.llm.common import local_bytes, pick, stored, text_slices, texts_of
 CAPACITY = 2048
 PIECE = 512
 BIN_TOKENS = 256 * CAPACITY
-_KEPT_WORDS = 400_000
+_KEPT_BYTES = 24_000_000  # of the words that a worker remembers, twice that at most
+_ENTRY_BYTES = 150  # what a word costs besides its letters and ids, about
 _MARKS = b".,;:!?"
 _END = np.array([1], dtype="<u4").tobytes()
 
@@ -47,13 +48,14 @@ class WordIds:
         self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # what was known before the table was full
+        self.kept = 0  # bytes of the table, about
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
         split = [t.encode().split() for t in texts]
         fresh = set().union(*split).difference(self.known)
-        if len(self.known) + len(fresh) > _KEPT_WORDS:
-            self.older, self.known = self.known, {}
+        if self.kept > _KEPT_BYTES:
+            self.older, self.known, self.kept = self.known, {}, 0
             fresh = set().union(*split)
         if fresh:
             self._learn(fresh)
@@ -83,6 +85,7 @@ class WordIds:
             known.update(zip(part, self._spell([w.decode() for w in part]), strict=True))
         for word, core, tail in apart:
             known[word] = known[core] + known[tail] if tail else known[core]
+        self.kept += sum(_ENTRY_BYTES + len(w) + len(known[w]) for w in words)
 
     def _spell(self, words: list[str]) -> list[bytes]:
         plain = [w for w in words if w.isalpha()]
