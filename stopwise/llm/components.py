@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from stopwise.llm.common import stored
 
-_MAX_ROUNDS = 100
 _EDGES = "a long, b long"
 
 
@@ -72,9 +71,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     execution splits. Null ends and loops are left out; no edges give no rows.
     """
     current = edges.filter("a is not null and b is not null and a != b").select("a", "b")
-    for _ in range(_MAX_ROUNDS):
+    while True:
         current = stored(_small_star(_large_star(current.mapInArrow(_contract, _EDGES))))
         if _settled(current):
             roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
-    raise RuntimeError("the components did not settle")
