@@ -13,6 +13,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -60,9 +61,10 @@ class Vocabulary:
             self.parts.setdefault(whole, (rank, ids[left], ids[right]))
         singles = {i: t for i, t in self.token.items() if len(t) == 1 or i in self.parts}
         self.of_bytes = {t: i for i, t in singles.items()}
-        self.longest = [0] * 256
-        for t in self.of_bytes:
-            self.longest[t[-1]] = max(self.longest[t[-1]], len(t))
+        self.matcher = ahocorasick.Automaton()
+        for t, i in self.of_bytes.items():
+            self.matcher.add_word(t.decode("latin-1"), (i, len(t)))
+        self.matcher.make_automaton()
         self.added: dict[str, int] = {}
         for a in spec["added_tokens"]:
             if a["lstrip"] or a["rstrip"] or a["single_word"]:
@@ -104,32 +106,38 @@ class Vocabulary:
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Little-endian 32-bit ids of every distinct word."""
-        of_bytes, longest, may_follow = self.of_bytes, self.longest, self.may_follow
+        pairs, may_follow, matches = self.pairs, self.may_follow, self.matcher.iter
         encoded: dict[bytes, bytes] = {}
         last: list[int] = []  # last[i]: last token of the prefix of i + 1 bytes
         size: list[int] = []  # its length
-        before = b""
-        for word in sorted(words):
+        before = ""
+        for raw in sorted(words):
+            word = raw.decode("latin-1")  # one character a byte
             shared = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 shared += 1
             del last[shared:], size[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                for length in range(min(end, longest[word[end - 1]]), 0, -1):
-                    token = of_bytes.get(word[end - length : end])
-                    if token is not None and (length == end or may_follow(last[end - length - 1], token)):
-                        last.append(token)
-                        size.append(length)
-                        break
-                else:
-                    raise ValueError(f"no token for {word[:end]!r}")
+            known = shared  # prefixes with a last token
+            for end, (token, length) in matches(word):  # by end, the longest first
+                if end < known:
+                    continue
+                if length <= end:
+                    pair = last[end - length], token
+                    follows = pairs.get(pair)
+                    if not (may_follow(*pair) if follows is None else follows):
+                        continue
+                last.append(token)
+                size.append(length)
+                known = end + 1
+            if known < len(word):
+                raise ValueError(f"no token for {raw[: known + 1]!r}")
             ids, end = [], len(word)
             while end:
                 ids.append(last[end - 1])
                 end -= size[end - 1]
-            encoded[word] = np.array(ids[::-1], dtype="<i4").tobytes()
+            encoded[raw] = np.array(ids[::-1], dtype="<i4").tobytes()
             before = word
         return encoded
 
@@ -196,67 +204,6 @@ class Encoder:
                 encoded.append(first + b"".join(ids))
         return encoded
 
-    def words_of(self, text: str) -> list[str | int]:
-        """The words of a text; added tokens as ids."""
-        if self.added_pattern is None or not any(a in text for a in self.added):
-            return self.words.findall(text)
-        found: list = []
-        for part in self.added_pattern.split(text):
-            if part in self.added:
-                found.append(self.added[part])
-            elif part:
-                found.extend(self.words.findall(part))
-        return found
-
-
-class Encoder:
-    """Ids of texts, remembering a bounded number of chunks and words.
-
-    A chunk is what stands between two spaces, the one before it included. One
-    that is empty or has white space at an end can't be taken by itself: it is
-    kept as None, and its text is cut only where that is safe.
-    """
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.words: dict[bytes, bytes] = {}
-        self.chunks: dict[str, bytes | None] = {}
-
-    def _spell(self, chunks: list[str]) -> list[bytes]:
-        split = [self.vocabulary.words_of(c) for c in chunks]
-        spelled = {w: w.encode() for words in split for w in words if isinstance(w, str)}
-        fresh = {w for w in spelled.values() if w not in self.words}
-        if len(self.words) + len(fresh) > _KEPT:
-            self.words.clear()
-            fresh = set(spelled.values())
-        self.words.update(self.vocabulary.encode_words(list(fresh)))
-        return [
-            b"".join(self.words[spelled[w]] if isinstance(w, str) else np.array([w], "<i4").tobytes() for w in words)
-            for words in split
-        ]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of every text."""
-        split = [t.split(" ") for t in texts]
-        heads = [parts.pop(0) for parts in split]
-        firsts = self._spell(heads)
-        fresh = set().union(*split).difference(self.chunks)
-        if len(self.chunks) + len(fresh) > _KEPT:
-            self.chunks.clear()
-            fresh = set().union(*split)
-        alone = [c for c in fresh if c and not c[0].isspace() and not c[-1].isspace()]
-        self.chunks.update(dict.fromkeys(fresh))
-        self.chunks.update(zip(alone, self._spell([" " + c for c in alone]), strict=True))
-        look = self.chunks.__getitem__
-        encoded = []
-        for text, head, first, parts in zip(texts, heads, firsts, split, strict=True):
-            ids = list(map(look, parts))
-            if None in ids or text[:1].isspace() or text.find(" ") > 0 and text[text.find(" ") - 1].isspace():
-                encoded.append(b"".join(self._spell(_CUT.sub("\0 ", text).split("\0") if "\0" not in text else [text])))
-            else:
-                encoded.append(first + b"".join(ids))
-        return encoded
-
 
 def _encoder(content: bytes) -> Encoder:
     store = worker_store("byte_bpe")
@@ -293,6 +240,36 @@ def encode(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     return picked.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
+def _texts(ids: list[np.ndarray], table: list[bytes]) -> list[str]:
+    """What the ids stand for; bytes that are no UTF-8 become replacement characters."""
+    return [b"".join(map(table.__getitem__, i.tolist())).decode("utf-8", "replace") for i in ids]
+
+
+def _table(vocabulary: Vocabulary) -> list[bytes]:
+    return [vocabulary.token.get(i, b"") for i in range(max(vocabulary.token) + 1)]
+
+
+def encode_and_decode(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``ids`` as ``encode`` gives them, and ``decoded``, their text as ``decode``
+    gives it, in one pass."""
+    content = df.sparkSession.sparkContext.broadcast(local_bytes(tokenizer_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(content.value)
+        table = _table(encoder.vocabulary)
+        for batch in batches:
+            for part in text_slices(batch, 1):
+                ids = [np.frombuffer(i, "<i4") for i in encoder.encode(texts_of(part, 1))]
+                offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                decoded = pa.array(_texts(ids, table), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, decoded], names=["key", "ids", "decoded"])
+
+    picked = pick(df, key=key, text=text)
+    kind = picked.schema["key"].dataType.simpleString()
+    return picked.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
+
+
 def decode(df: DataFrame, tokenizer_path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """``key``, ``ids`` and their ``text``. Ids that the vocabulary lacks and null
     ids are passed over; bytes that are no UTF-8 become replacement characters.
@@ -300,19 +277,16 @@ def decode(df: DataFrame, tokenizer_path: str, key: str = "doc_id", ids: str = "
     content = df.sparkSession.sparkContext.broadcast(local_bytes(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _encoder(content.value).vocabulary.token
-        table = [token.get(i, b"") for i in range(max(token) + 1)]
+        table = _table(_encoder(content.value).vocabulary)
         for batch in batches:
             for part in text_slices(batch, 1):
-                texts = []
+                known = []
                 for row in part.column(1):
-                    numbers = row.values
-                    if numbers is None:
-                        texts.append("")
-                        continue
-                    numbers = numbers.drop_null().to_numpy(zero_copy_only=False)
-                    numbers = numbers[(numbers >= 0) & (numbers < len(table))]
-                    texts.append(b"".join(map(table.__getitem__, numbers.tolist())).decode("utf-8", "replace"))
+                    numbers = np.empty(0, np.int32)
+                    if row.values is not None:
+                        numbers = row.values.drop_null().to_numpy(zero_copy_only=False)
+                    known.append(numbers[(numbers >= 0) & (numbers < len(table))])
+                texts = _texts(known, table)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string())], names=["key", "ids", "text"]
                 )

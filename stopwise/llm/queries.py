@@ -105,13 +105,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded."""
     path = public_tokenizers.path(_BYTE_BPE)
-    decoded = byte_bpe.decode(byte_bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    coded = byte_bpe.encode_and_decode(_table(spark, sf_dir, "documents"), path)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decoded.select(
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(joined, 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

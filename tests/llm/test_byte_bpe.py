@@ -84,3 +84,13 @@ def test_decoding_what_is_no_text(spark, library):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "doc_id long, ids array<int>")
     found = {r["doc_id"]: r["text"] for r in byte_bpe.decode(df, PATH).collect()}
     assert found == {0: library.decode([50256, 10, 447], skip_special_tokens=False), 1: "�", 2: "", 3: ""}
+
+
+def test_one_pass_gives_the_same(spark):
+    rows = [(i, t) for i, t in enumerate([None, *HARD, "twice", "twice"])] + [(None, "no id")]
+    df = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, decoded string, ids int")
+    two = byte_bpe.decode(byte_bpe.encode(df, PATH), PATH).withColumnRenamed("text", "decoded")
+    one = byte_bpe.encode_and_decode(df, PATH)
+    order = lambda r: (r["doc_id"] is None, r["doc_id"])
+    assert sorted(one.collect(), key=order) == sorted(two.collect(), key=order)
+    assert byte_bpe.encode_and_decode(df.limit(0), PATH).count() == 0
