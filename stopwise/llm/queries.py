@@ -95,11 +95,21 @@ def packed(docs: DataFrame) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by the host rules and by rules mined from the labels."""
     pages = _table(spark, sf_dir, "pages")
+    judged = url_rules.judge(pages, mined_url_rules(spark, sf_dir), HOST_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+# A quarter of the labelled pages is blocked: a rule must stand well above that.
+URL_CONFIDENCE = 0.35
+
+
+def mined_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of ``op6_url_filter``, from all labelled pages."""
+    pages = _table(spark, sf_dir, "pages")
     labels = _table(spark, sf_dir, "labels")
     blocked = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     labelled = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", blocked.alias("blocked"))
-    judged = url_rules.judge(pages, url_rules.mine_rules(labelled), HOST_RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    return url_rules.mine_rules(labelled, min_confidence=URL_CONFIDENCE)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,3 +185,22 @@ def test_many_tokens_of_the_same_rows(spark):
     rows = [(f"http://a.org/{path}" if i % 2 else "http://b.org/x", i % 2 == 1) for i in range(80)]
     rules = url_rules.mine_rules(spark.createDataFrame(rows, "url string, blocked boolean")).collect()
     assert max(len(c) for r in rules for c in r["classes"]) >= 26
+
+
+def test_mined_rules_decide_on_the_given_table(spark):
+    """Some rule is mined there, and every verdict follows from host rules and mined ones."""
+    sf_dir = "/root/testdata/sf0.1"
+    rules = queries.mined_url_rules(spark, sf_dir).collect()
+    assert rules and all(r["confidence"] >= queries.URL_CONFIDENCE and r["lift"] >= url_rules.MIN_LIFT for r in rules)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    tokens = {r["page_id"]: set(r["t"]) for r in pages.select("page_id", url_rules.url_tokens(pages["url"]).alias("t")).collect()}
+    judged = queries.op6_url_filter(spark, sf_dir).collect()
+    assert len(judged) == len(tokens)
+    classes = [[set(c) for c in r["classes"]] for r in rules]
+    changed = 0
+    for r in judged:
+        if r["rule"] is None:
+            fits = any(all(c & tokens[r["page_id"]] for c in rule) for rule in classes)
+            assert r["verdict"] == ("block" if fits else "allow")
+            changed += fits
+    assert changed > 0
