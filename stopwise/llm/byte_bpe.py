@@ -31,7 +31,7 @@ _NEVER = 1 << 60
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte: itself if printable, else the next
     free one from 256 on."""
     printable = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
@@ -49,7 +49,7 @@ class Vocabulary:
             raise ValueError("not a byte-level BPE tokenizer")
         if pre["add_prefix_space"] or spec["normalizer"] or model.get("ignore_merges"):
             raise ValueError("prefix space, normalizer and ignore_merges are not supported")
-        letters = _byte_letters()
+        letters = byte_letters()
         ids = model["vocab"]
         self.token = {i: bytes(letters[c] for c in t) for t, i in ids.items()}
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}

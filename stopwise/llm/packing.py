@@ -11,96 +11,116 @@ window more.
 from __future__ import annotations
 
 import heapq
+import json
+import re
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from stopwise.llm.byte_bpe import byte_letters
 from stopwise.llm.common import local_bytes, pick, stored, text_slices, texts_of, worker_store
 
 CAPACITY = 2048
 PIECE = 512
 BIN_TOKENS = 256 * CAPACITY
-_KEPT_BYTES = 24_000_000  # of the words that a worker remembers, twice that at most
-_ENTRY_BYTES = 150  # what a word costs besides its letters and ids, about
-_MARKS = b".,;:!?"
+_SUFFIX = "</w>"
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+# Composed characters of one lower-case letter each; the marks are neither letters nor numbers.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\u0400-\u045f\u4e00-\u9fa5"
+_UNCERTAIN = re.compile(f"[^\\t-\\r -~\u00a1\u00ab\u00bf\u2013\u2014\u2018-\u201e\u2026{_LETTERS}]")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\t-\\r 0-9{_LETTERS}]+")
 _END = np.array([1], dtype="<u4").tobytes()
 
 
 class WordIds:
-    """Ids of texts whose tokens never span white space, word by word.
-
-    What stands between ASCII white space is looked up in a bounded table. A new
-    word is taken apart where the tokenizer does so for certain: marks at the end
-    after a letter or digit, and the letters' case, unless an added token of the file,
-    which is sought in the raw text, could be meant. Words of letters alone are one
-    piece each, so they go to the tokenizer as one text; the others one by one.
+    """Ids of texts whose tokens never span white space.
+
+    A file with the splitting of ``_NORMALIZER`` and ``_SPLIT`` and with tokens numbered
+    in the order of their merges is put into a compiled encoder that ranks merges by token
+    number; the end of a piece is a space there, which no piece holds. Words with
+    characters whose lower case, composed form or kind is not certain, and those that
+    hold an added token, go to the tokenizer library, as do all texts of other files.
+    Nothing is remembered of the texts, so memory does not grow with the words.
     """
 
     def __init__(self, content: bytes):
-        self.tokenizer = Tokenizer.from_buffer(content)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.added = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}  # what was known before the table was full
-        self.kept = 0  # bytes of the table, about
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text."""
-        split = [t.encode().split() for t in texts]
-        fresh = set().union(*split).difference(self.known)
-        if self.kept > _KEPT_BYTES:
-            self.older, self.known, self.kept = self.known, {}, 0
-            fresh = set().union(*split)
-        if fresh:
-            self._learn(fresh)
-        look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
-
-    def _learn(self, words: set[bytes]) -> None:
-        known, apart, needed = self.known, [], set()
-        for word in words:
-            if (ids := self.older.get(word)) is not None:
-                known[word] = ids
-                continue
-            core = word.rstrip(_MARKS)
-            if not core or not core[-1:].isalnum():
-                core = word
-            tail, lowered = word[len(core) :], core.lower()
-            if core.isascii() and not any(a in lowered for a in self.added):
-                core = lowered
-            apart.append((word, core, tail))
-            if core not in known:
-                needed.add(core)
-            if tail and tail not in known:
-                needed.add(tail)
-        some = list(needed)
-        for start in range(0, len(some), 20_000):
-            part = some[start : start + 20_000]
-            known.update(zip(part, self._spell([w.decode() for w in part]), strict=True))
-        for word, core, tail in apart:
-            known[word] = known[core] + known[tail] if tail else known[core]
-        self.kept += sum(_ENTRY_BYTES + len(w) + len(known[w]) for w in words)
-
-    def _spell(self, words: list[str]) -> list[bytes]:
-        plain = [w for w in words if w.isalpha()]
-        spelled: dict[str, bytes] = {}
-        if plain:
-            coded = self.tokenizer.encode(" ".join(plain), add_special_tokens=False)
-            ids, pieces = np.array(coded.ids, dtype="<u4"), np.array(coded.word_ids)
-            starts = np.flatnonzero(np.r_[True, pieces[1:] != pieces[:-1]][: len(ids)])
-            if len(starts) == len(plain):
-                raw, ends = ids.tobytes(), [*starts[1:].tolist(), len(ids)]
-                spelled = {w: raw[4 * a : 4 * b] for w, a, b in zip(plain, starts.tolist(), ends, strict=True)}
-        rest = [w for w in words if w not in spelled]
-        coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        spelled.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(rest, coded, strict=True))
-        return [spelled[w] for w in words]
+        self.content = content
+        file = json.loads(content)
+        self.added = [t["content"] for t in file["added_tokens"]]
+        self.fast = _end_marked(file)
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        tokenizer = Tokenizer.from_buffer(self.content)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of the text."""
+        if self._plain(text):
+            return self._by_rank(text)
+        if self.fast is None:
+            return self._by_library(text)
+        runs = groupby((w.decode() for w in text.encode().split()), self._plain)
+        return b"".join((self._by_rank if plain else self._by_library)(" ".join(words)) for plain, words in runs)
+
+    def _plain(self, text: str) -> bool:
+        return self.fast is not None and not _UNCERTAIN.search(text) and not any(a in text for a in self.added)
+
+    def _by_rank(self, text: str) -> bytes:
+        pieces = _PIECES.findall(text.lower())
+        if not pieces:
+            return b""
+        ids = self.fast.encode_to_numpy(" ".join(pieces) + " ", allowed_special=set(), disallowed_special=())
+        return ids.astype("<u4", copy=False).tobytes()
+
+    def _by_library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def _end_marked(file: dict) -> tiktoken.Encoding | None:
+    """An encoder of pieces that each end with a space; None for files it does not suit."""
+    model = file["model"]
+    plain = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": _SUFFIX}
+    steps = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    if file["normalizer"] != _NORMALIZER or steps[0] != _SPLIT or any(model[k] != v for k, v in plain.items()):
+        return None
+    if [{k: s.get(k) for k in _BYTES} for s in steps[1:]] != [_BYTES]:
+        return None
+    byte = {c: bytes([b]) for c, b in byte_letters().items()}
+    merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    vocabulary = model["vocab"]
+    bare = [c + end for end in ("", _SUFFIX) for c in byte]
+    made = [vocabulary.get(t, -1) for t in merges]
+    first = [vocabulary.get(t, len(vocabulary)) for t in bare]
+    if any(a >= b for a, b in zip(made, made[1:])) or max(first) >= min(made, default=len(vocabulary)):
+        return None
+    if any(b" " in map(byte.get, t) for t in merges):
+        return None
+    ranks = {}
+    for token in [*bare, *merges]:
+        name = token.removesuffix(_SUFFIX)
+        ranks[b"".join(byte[c] for c in name) + b" " * (name != token)] = vocabulary[token]
+    return tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
 
 def spans_of(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
@@ -141,8 +161,8 @@ def token_pieces(
         for batch in batches:
             for part in text_slices(batch, 1):
                 rows, starts, lengths, pieces, totals = [], [], [], [], []
-                for row, ids in enumerate(words.encode(texts_of(part, 1))):
-                    ids += _END
+                for row, whole in enumerate(texts_of(part, 1)):
+                    ids = words.encode(whole) + _END
                     for start, length in spans_of(len(ids) // 4, capacity, piece):
                         rows.append(row)
                         starts.append(start)

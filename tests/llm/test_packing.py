@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -124,3 +125,29 @@ def test_added_tokens_keep_their_case(spark):
     texts = {1: "a <|ENDOFTEXT|> <|EndOfText|>, B<|endoftext|>C <|STARTOFTEXT|>", 2: "<|endoftext|> The THE"}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     _check(packing.pack(df, PATH).withColumn("crc", F.crc32("ids")).collect(), texts)
+
+
+def test_words_are_ranked_without_the_library_and_not_remembered():
+    with open(PATH, "rb") as f:
+        words = packing.WordIds(f.read())
+    before = set(vars(words))
+    library = Tokenizer.from_file(PATH)
+    rng = random.Random(3)
+    known = [t.removesuffix("</w>") for t in library.get_vocab()]
+    texts = [" ".join(w for w in known if w.isascii() and w not in words.added), "It's 'SURE'LL 've--'s 3rd 12.5%!?'re"]
+    texts += ["".join(rng.choices("abcdeéÀßЖ中'stre.,-–“0 9\n\tĿŸ", k=rng.randint(1, 90))) for _ in range(2000)]
+    same = lambda t: words.encode(t) == b"".join(i.to_bytes(4, "little") for i in library.encode(t, add_special_tokens=False).ids)
+    assert words.fast is not None and all(map(same, texts))
+    assert set(vars(words)) == before  # no library was loaded, no table of words made
+    odd = "aß'sİſŉΑΣé²½ª×\xad\xa0\x85\x1ć̆ и日한ｱ \n<|>"
+    mixed = ["".join(rng.choices(odd, k=rng.randint(1, 40))) for _ in range(2000)]
+    mixed += [f"one two{chr(c)}s 's{chr(c)} three" for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    assert all(map(same, mixed))
+
+
+def test_a_file_of_other_splitting_goes_to_the_library():
+    file = json.loads(Tokenizer.from_file(PATH).to_str())
+    file["normalizer"] = {"type": "Lowercase"}
+    words = packing.WordIds(json.dumps(file).encode())
+    ids = words.library.encode("The é", add_special_tokens=False).ids
+    assert words.fast is None and words.encode("The é") == b"".join(i.to_bytes(4, "little") for i in ids)
