@@ -66,13 +66,18 @@ def worker_store(name: str) -> dict:
     if getattr(holder, "owner", None) != name:
         holder.owner, holder.store = name, {}
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:  # the C library's own way to give memory back
-            trim(0)
+        give_back()
     return holder.store
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as a worker waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # the C library's own way
+        trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: int, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of ``batch`` with about ``max_bytes`` of text each, one row at least."""
     lengths = batch.column(column).nbytes

@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopwise.llm.common import pick, stored, text_slices, texts_of, worker_store
+from stopwise.llm.common import give_back, pick, stored, text_slices, texts_of, worker_store
 from stopwise.llm.components import connected_components
 
 WORDS = 5
 PERCENT = 80
 _FLUSH = 1_000_000  # shingles a task gathers before it sends them
-_BUCKET = 1_500_000  # shingles of a bucket, about
+_BUCKET = 750_000  # shingles of a bucket, about
 _SPACE = 1 << 40  # shingles are counted by the upper 40 bits of their hash
 _KEPT_WORDS = 200_000
 _PARTS = 32  # of the hash space, for the suffix bound
@@ -104,20 +104,25 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, column: int):
                 words = shingler.words(text)
                 rows.append((class_of(words), shingler.shingles(words)))
             yield part, rows
+    give_back()
 
 
 def document_classes(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """``key, class, n_shingles`` of every row; class null for texts without words."""
+    """``key, class, places`` of every row; class null for texts without words. A text
+    has a shingle at each of its ``places``, repeated ones included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _sets(batches, n, 1):
-            classes = pa.array([c if len(s) else None for c, s in rows], pa.int64())
-            sizes = pa.array([len(s) for _, s in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), classes, sizes], names=["key", "class", "n"])
+        shingler = _shingler(n)
+        for batch in batches:
+            for part in text_slices(batch, 1):
+                split = [shingler.words(t) for t in texts_of(part, 1)]
+                classes = pa.array([class_of(words) if words else None for words in split], pa.int64())
+                places = pa.array([len(words) - min(n, len(words)) + 1 if words else 0 for words in split], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), classes, places], names=["key", "class", "places"])
 
     picked = pick(df, key=key, text=text)
     kind = picked.schema["key"].dataType.simpleString()
-    return picked.mapInArrow(run, f"key {kind}, class long, n long").toDF("key", "class", "n_shingles")
+    return picked.mapInArrow(run, f"key {kind}, class long, places long")
 
 
 def with_class(df: DataFrame, text: str = "text") -> DataFrame:
@@ -160,13 +165,13 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared_counts(df: DataFrame, text: str, n: int, buckets: int) -> DataFrame:
-    """``class, shared``: how many shingles of a class other classes have too; for
-    classes that share none there is no row."""
+    """``class, n, shared``: how many shingles a class has, and how many of them other
+    classes have too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, flushed = TaskContext.get().partitionId(), 0
         held: dict[int, np.ndarray] = {}
-        lost: dict[int, int] = {}  # shingles of a class that 40 bits don't tell apart
+        sizes: dict[int, int] = {}  # shingles of a class; 40 bits don't tell all of them apart
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -181,8 +186,10 @@ def _shared_counts(df: DataFrame, text: str, n: int, buckets: int) -> DataFrame:
             # classes are told at once, the shingle itself is sent a single time.
             single = np.repeat(alone, np.diff(np.r_[starts, len(hashes)]))
             names, told = np.unique(classes[~single], return_counts=True)
-            names = np.r_[names, np.array(list(lost), np.int64)]
-            told = np.r_[told, np.array(list(lost.values()), np.int64)]
+            whole = np.array(list(sizes.values()), np.int64)
+            lost = whole - [len(s) for s in held.values()]
+            names, told = np.r_[names, np.array(list(sizes), np.int64)], np.r_[told, lost]
+            whole = np.r_[np.zeros(len(names) - len(whole), np.int64), whole]
             flush_id = (task << 20) + flushed
             sent_hashes = np.concatenate([hashes[single], hashes[starts[~alone]]])
             # Class 0 stands for "shared already" and asks for no answer.
@@ -192,7 +199,7 @@ def _shared_counts(df: DataFrame, text: str, n: int, buckets: int) -> DataFrame:
             bucket, sent_hashes, sent_classes = bucket[by], sent_hashes[by], sent_classes[by]
             edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
             ends = np.r_[edges[1:], len(bucket)].astype(int)
-            out = [(_TOLD, flush_id, np.concatenate([names, told]).astype("<i8").tobytes())]
+            out = [(_TOLD, flush_id, np.concatenate([names, told, whole]).astype("<i8").tobytes())]
             out += [
                 (int(bucket[a]), flush_id, _pack(sent_classes[a:b], sent_hashes[a:b]))
                 for a, b in zip(edges.tolist(), ends.tolist(), strict=True)
@@ -209,14 +216,15 @@ def _shared_counts(df: DataFrame, text: str, n: int, buckets: int) -> DataFrame:
                 if len(shingles) and name not in held:
                     held[name] = np.unique(shingles >> np.uint64(24))
                     size += len(shingles)
-                    if len(held[name]) < len(shingles):
-                        lost[name] = len(shingles) - len(held[name])
+                    sizes[name] = len(shingles)
                 if size >= _FLUSH:
                     yield from flush()
                     flushed += 1
-                    held, lost, size = {}, {}, 0
+                    held, sizes, size = {}, {}, 0
         if held:
             yield from flush()
+        held, sizes = {}, {}
+        give_back()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Answer a bucket's questions; rows come sorted by bucket."""
@@ -242,19 +250,22 @@ def _shared_counts(df: DataFrame, text: str, n: int, buckets: int) -> DataFrame:
             starts = np.flatnonzero(
                 np.r_[True, (classes[1:] != classes[:-1]) | (flushes[1:] != flushes[:-1])][: len(classes)]
             )
-            yield _dealt(classes[starts], flushes[starts], np.diff(np.r_[starts, len(classes)]), buckets)
+            counts = np.diff(np.r_[starts, len(classes)])
+            yield _dealt(classes[starts], flushes[starts], counts, np.zeros(len(counts), np.int64), buckets)
 
         for batch in batches:
             for bucket, flush, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket == _TOLD:
-                    names, told = np.frombuffer(packed, "<i8").reshape(2, -1)
-                    yield _dealt(names, np.full(len(names), flush), told, buckets)
+                    names, told, whole = np.frombuffer(packed, "<i8").reshape(3, -1)
+                    yield _dealt(names, np.full(len(names), flush), told, whole, buckets)
                     continue
                 if bucket != current:
                     yield from answer()
                     waiting, current = [], bucket
                 waiting.append((flush, packed))
         yield from answer()
+        waiting = []
+        give_back()
 
     sent = pick(df, text=text).mapInArrow(send, "bucket int, flush long, packed binary")
     # Told counts have no bucket to meet in and are dealt by their flush.
@@ -262,13 +273,14 @@ def _shared_counts(df: DataFrame, text: str, n: int, buckets: int) -> DataFrame:
     met = sent.withColumn("to", where).repartition(buckets, "to").sortWithinPartitions("bucket")
     answered = met.select("bucket", "flush", "packed").mapInArrow(settle, "to int, packed binary")
     gathered = answered.repartition(buckets, "to").sortWithinPartitions("to")
-    return gathered.mapInArrow(_summed, "class long, shared long")
+    return gathered.mapInArrow(_summed, "class long, n long, shared long")
 
 
-def _dealt(classes: np.ndarray, flushes: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Counts as packed arrays, a row for each part that some of the classes belong to."""
+def _dealt(classes: np.ndarray, flushes: np.ndarray, counts: np.ndarray, sizes: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Counts and sizes (or 0) as packed arrays, a row for each part that some of the
+    classes belong to."""
     to = (classes.astype(np.int64).view(np.uint64) % np.uint64(parts)).astype(np.int32)
-    rows = np.stack([np.asarray(a, np.int64) for a in (classes, flushes, counts)])
+    rows = np.stack([np.asarray(a, np.int64) for a in (classes, flushes, counts, sizes)])
     order = np.argsort(to, kind="stable")
     to, rows = to[order], rows[:, order]
     edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)])
@@ -279,27 +291,30 @@ def _dealt(classes: np.ndarray, flushes: np.ndarray, counts: np.ndarray, parts:
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums by class and flush. Every flush that holds a class comes to the same sum,
-    so the class has the largest. Rows come sorted by part."""
+    so the class has the largest; its size was sent with the flush. Rows come sorted by
+    part."""
     held, current = [], None
 
     def total() -> Iterator[pa.RecordBatch]:
         if held:
-            classes, flushes, counts = np.concatenate(held, axis=1)
+            classes, flushes, counts, sizes = np.concatenate(held, axis=1)
             order = np.lexsort((flushes, classes))
-            classes, flushes, counts = classes[order], flushes[order], counts[order]
+            classes, flushes, counts, sizes = (x[order] for x in (classes, flushes, counts, sizes))
             starts = np.flatnonzero(np.r_[True, (classes[1:] != classes[:-1]) | (flushes[1:] != flushes[:-1])])
-            sums, classes = np.add.reduceat(counts, starts), classes[starts]
+            sums, sizes, classes = np.add.reduceat(counts, starts), np.maximum.reduceat(sizes, starts), classes[starts]
             starts = np.flatnonzero(np.r_[True, classes[1:] != classes[:-1]])
-            shared = np.maximum.reduceat(sums, starts)
-            yield pa.RecordBatch.from_arrays([pa.array(classes[starts]), pa.array(shared)], names=["class", "shared"])
+            columns = [classes[starts], np.maximum.reduceat(sizes, starts), np.maximum.reduceat(sums, starts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["class", "n", "shared"])
 
     for batch in batches:
         for to, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if to != current:
                 yield from total()
                 held, current = [], to
-            held.append(np.frombuffer(packed, np.int64).reshape(3, -1))
+            held.append(np.frombuffer(packed, np.int64).reshape(4, -1))
     yield from total()
+    held = []
+    give_back()
 
 
 def _class_sets(df: DataFrame, key: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -447,16 +462,13 @@ def similarity_components(
     Equality of shingles is that of 64-bit hashes. An empty table gives no rows.
     """
     rows = stored(document_classes(df, key, text, n))
-    classes = stored(
-        rows.filter("class is not null")
-        .groupBy("class")
-        .agg(F.min("key").alias("key"), F.first("n_shingles").alias("n"))
-    )
-    total = classes.agg(F.sum("n")).first()[0] or 0
+    named = rows.filter("class is not null").groupBy("class").agg(F.min("key").alias("key"), F.first("places").alias("places"))
+    named = stored(named)
+    total = named.agg(F.sum("places")).first()[0] or 0
     buckets = max(1, -(-total // _BUCKET))
-    shared = _shared_counts(df, text, n, buckets)
+    classes = stored(named.select("class", "key").join(_shared_counts(df, text, n, buckets), "class"))
     least = F.expr(f"(n * {percent} + 99) div 100")
-    kept = stored(classes.join(shared, "class").filter(F.col("shared") >= least).select("class", "key"))
+    kept = classes.filter(F.col("shared") >= least).select("class", "key")
     linked = stored(link_classes(_class_sets(df, key, text, n, kept), percent))
     found = linked.join(classes.select("class", "key"), linked["node"] == F.col("class")).select(
         "class", "component", "key"
@@ -466,14 +478,14 @@ def similarity_components(
         found.join(smallest, "component").select("class", "component", F.col("component_id").alias("reached"))
     )
     named = rows.join(own, "class", "left").join(
-        classes.select("class", F.col("key").alias("smallest")), "class", "left"
+        classes.select("class", F.col("key").alias("smallest"), "n"), "class", "left"
     )
     # Rows without words are reached from nowhere.
     component_id = F.when(F.col("class").isNull(), F.col("key")).otherwise(F.coalesce("reached", "smallest"))
     return named.select(
         F.col("key").alias(key),
         "class",
-        "n_shingles",
+        F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"),
         component_id.alias("component_id"),
         F.coalesce("component", "class").alias("component"),
     )

@@ -116,3 +116,23 @@ def test_packed_shingles_come_back():
     hashes = rng.integers(0, 1 << 40, 8).astype(np.uint64)
     again = jaccard_join._unpack(jaccard_join._pack(classes, hashes))
     assert (again[0] == classes).all() and (again[1] == hashes).all()
+
+
+def test_classes_need_no_shingles(spark, monkeypatch):
+    def shingles(self, words):
+        raise AssertionError("shingles are made where they are counted")
+
+    monkeypatch.setattr(jaccard_join.Shingler, "shingles", shingles)
+    df = spark.createDataFrame([(1, "a b c d e f a b c d e f"), (2, "a b"), (3, " "), (4, None)], "k long, t string")
+    rows = jaccard_join.document_classes(df, "k", "t", 5).collect()
+    assert sorted((r["key"], r["places"], r["class"] is None) for r in rows) == [
+        (1, 8, False), (2, 1, False), (3, 0, True), (4, 0, True),
+    ]
+
+
+def test_sizes_come_with_the_counts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "_FLUSH", 3)
+    texts = ["a b c d e f a b c d e f", "a b c d e f", "a b", "q r s t u v w"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    counts = {r["class"]: (r["n"], r["shared"]) for r in jaccard_join._shared_counts(df, "t", 5, 2).collect()}
+    assert [counts[jaccard_join.class_of(t.encode().split())] for t in texts] == [(6, 2), (2, 2), (1, 0), (3, 0)]
