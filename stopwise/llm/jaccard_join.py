@@ -21,6 +21,8 @@ that each leave little to the next:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ _BUCKET = 750_000  # shingles of a bucket, about
 _SPACE = 1 << 40  # shingles are counted by the upper 40 bits of their hash
 _KEPT_WORDS = 200_000
 _PARTS = 32  # of the hash space, for the suffix bound
+_SKETCH = 8  # words of 64 parities
 _CHAIN = 5_000  # rows of one shingle's list that one chain takes
 _TURNS = 4  # of neighbours, before all that is left
 _SEED = 0x9E3779B97F4A7C15
@@ -317,8 +320,18 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``64 * _SKETCH`` parts of the hash space a bit: whether the set has an
+    odd number of shingles there. A shingle that only one of two sets has turns one bit
+    of the two sketches' difference, so these differ in no more bits than the sets in
+    shingles."""
+    bits = np.uint64(64 * _SKETCH - 1)
+    odd = np.bincount((shingles & bits).astype(np.int64), minlength=64 * _SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _class_sets(df: DataFrame, key: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
-    """``class, n, hashes`` of the ``wanted`` classes (class, key of one document)."""
+    """``class, n, hashes, parts, odd`` of the ``wanted`` classes (class, key of one document)."""
     docs = pick(df, key=key, text=text)
     keys = wanted.select(F.col("key").alias("wanted"))
     if wanted.count() <= _BROADCAST_ROWS:  # 16 bytes a row; else a shuffled join
@@ -334,12 +347,13 @@ def _class_sets(df: DataFrame, key: str, text: str, n: int, wanted: DataFrame) -
             classes = pa.array([c for c, _ in rows], pa.int64())
             shift = np.uint64(65 - _PARTS.bit_length())
             parts = [np.bincount((s >> shift).astype(np.int64), minlength=_PARTS) for _, s in rows]
+            odd = [parities(s) for _, s in rows]
             yield pa.RecordBatch.from_arrays(
-                [classes, pa.array(sizes), hashes, pa.array(parts, pa.list_(pa.int32()))],
-                names=["class", "n", "hashes", "parts"],
+                [classes, pa.array(sizes), hashes, pa.array(parts, pa.list_(pa.int32())), pa.array(odd, pa.list_(pa.int64()))],
+                names=["class", "n", "hashes", "parts", "odd"],
             )
 
-    schema = "class long, n long, hashes array<long>, parts array<int>"
+    schema = "class long, n long, hashes array<long>, parts array<int>, odd array<long>"
     sets = found.select("text").mapInArrow(run, schema)
     # A key may stand for other texts too, and several keys for one class.
     return sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
@@ -375,6 +389,14 @@ def _fits(percent: int) -> Column:
     return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (left >= need)
 
 
+def _close(percent: int) -> Column:
+    """Whether two sketches of parities leave room for the overlap that the sizes ask
+    for: what only one of the sets has is at least the bits in which they differ."""
+    need = F.expr(f"((n_a + n_b) * {percent} + {99 + percent}) div {100 + percent}")
+    bits = [F.bit_count(F.col(f"odd_{i}_a").bitwiseXOR(F.col(f"odd_{i}_b"))) for i in range(_SKETCH)]
+    return reduce(add, bits) <= F.col("n_a") + F.col("n_b") - 2 * need
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are alike: first a bound from the counts by part of the
     hash space, then the sets themselves."""
@@ -418,7 +440,8 @@ def _mixed(postings: DataFrame, joined: DataFrame) -> DataFrame:
 
 def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``node, component`` of all classes that are linked to another, from
-    ``sets`` (class, n, hashes, parts: their counts by part of the hash space)."""
+    ``sets`` (class, n, hashes, parts: their counts by part of the hash space, odd:
+    their ``parities``)."""
     sets = stored(sets)
     postings = stored(_prefixes(sets, percent).withColumn("component", F.col("class")))
     joined = sets.sparkSession.createDataFrame([], "node long, component long")
@@ -436,11 +459,14 @@ def link_classes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         postings = stored(_mixed(postings, joined))
 
     # What is left lies between different components.
+    sketches = sets.select("class", *[F.col("odd")[i].alias(f"odd_{i}") for i in range(_SKETCH)])
+    postings = stored(postings.join(sketches, "class"))
+
     def side(x: str) -> DataFrame:
-        return postings.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "place", "component")])
+        return postings.select("hash", *[F.col(c).alias(f"{c}_{x}") for c in postings.columns if c not in ("hash", "often")])
 
     meet = (F.col("component_a") != F.col("component_b")) & (F.col("class_a") < F.col("class_b"))
-    met = side("a").join(side("b"), "hash").filter(meet & _fits(percent))
+    met = side("a").join(side("b"), "hash").filter(meet & _fits(percent) & _close(percent))
     others = met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
     rest = stored(_verified(others, sets, percent))
     return joined if rest.isEmpty() else connected_components(with_stars(rest))

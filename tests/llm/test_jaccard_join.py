@@ -136,3 +136,33 @@ def test_sizes_come_with_the_counts(spark, monkeypatch):
     df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
     counts = {r["class"]: (r["n"], r["shared"]) for r in jaccard_join._shared_counts(df, "t", 5, 2).collect()}
     assert [counts[jaccard_join.class_of(t.encode().split())] for t in texts] == [(6, 2), (2, 2), (1, 0), (3, 0)]
+
+
+def test_copies_too_far_apart_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"g{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(5, 145, 10), 2):  # ten shingles go, ten of its own come
+            words[at + rng.randrange(5)] = f"e{rng.random()}"
+        rows.append((i, " ".join(words)))
+    verified, made = jaccard_join._verified, []
+
+    def counted(pairs, sets, percent):
+        made.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    assert _found(spark, rows) == brute_components(rows)
+    assert max(made) <= len(rows) ** 2 // 8  # of nearly half its square
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    for size, other in [(0, 5), (1, 1), (100, 120), (3000, 2500)]:
+        a, b = rng.choice(pool, size, replace=False), rng.choice(pool, other, replace=False)
+        one, two = jaccard_join.parities(a), jaccard_join.parities(b)
+        assert len(one) == jaccard_join._SKETCH
+        assert sum(int(x).bit_count() for x in (one ^ two).view(np.uint64)) <= len(np.setxor1d(a, b))
