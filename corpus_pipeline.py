@@ -32,18 +32,24 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """One document of each group of near copies: that of the smallest id, null ids
     last; of rows with that id and the same words any one. Documents without words
     stay."""
-    docs = jaccard_join.with_class(_documents(docs))
-    groups = jaccard_join.similarity_components(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "class")
-    chosen = (
-        groups.filter("class is not null")
+    docs = _documents(docs)
+    groups = jaccard_join.similarity_components(docs).filter("class is not null")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "class", "copies")
+    chosen = stored(
+        groups.groupBy("component", "doc_id", "class")
+        .agg(F.count("*").alias("copies"))
         .groupBy("component")
         .agg(F.min(order).alias("one"))
-        .select(F.col("one.doc_id").alias("kept_id"), F.col("one.class").alias("kept_class"))
+        .select(F.col("one.doc_id").alias("kept_id"), F.col("one.class").alias("kept_class"), F.col("one.copies").alias("copies"))
     )
+    # The texts pass through Python and a shuffle once more, beside the choice and unsorted.
+    named = jaccard_join.with_class(docs)
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("class") == F.col("kept_class"))
-    kept = docs.join(stored(chosen), same, "left_semi").dropDuplicates(["doc_id", "class"])
-    return kept.unionByName(docs.filter("class is null")).select(*DOCUMENTS)
+    kept = named.join(chosen.hint("shuffle_hash"), same, "left").filter("class is null or copies is not null")
+    once = kept.filter("class is null or copies = 1").select(*DOCUMENTS)
+    if chosen.filter("copies > 1").isEmpty():
+        return once
+    return once.unionByName(kept.filter("copies > 1").dropDuplicates(["doc_id", "class"]).select(*DOCUMENTS))
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from test_jaccard_join import brute_components, corpus
 
 import corpus_pipeline
-from stopwise.llm import packing, secret_scan
+from stopwise.llm import jaccard_join, packing, secret_scan
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = list(corpus_pipeline.DOCUMENTS)
@@ -49,6 +49,25 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted((c for _, _, c in again), key=str) == sorted((k for k, _ in worded), key=str)
 
 
+def test_texts_go_unsorted_past_the_search_for_copies(spark, monkeypatch):
+    find, searched = jaccard_join.similarity_components, []
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def recorded(docs):
+        searched.append(plan(docs))
+        return find(docs)
+
+    monkeypatch.setattr(jaccard_join, "similarity_components", recorded)
+    rows = [(1, "one text of five words"), (2, "one text of five words"), (3, "another text"), (4, None), (None, "last one")]
+    kept = corpus_pipeline.one_of_each_group(spark, _docs(spark, rows), SF)
+    # No Python stands in front of the search's own, and the texts' shuffle sorts nothing.
+    assert "MapInArrow" not in searched[0]
+    assert "ShuffledHashJoin" in plan(kept) and "Sort" not in plan(kept)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, 4, None]
+
+
 def test_secrets_go_and_other_texts_stay(spark):
     rng = random.Random(2)
     secret = "".join(rng.choices("0123456789abcdef", k=40))
