@@ -50,16 +50,26 @@ def build(keys: DataFrame, files: DataFrame) -> DataFrame:
     return placed.groupBy("path", "level", "block").agg(*words)
 
 
+def _sought(keys: DataFrame, levels: DataFrame) -> DataFrame:
+    """Block and bits of every key at each of its date's ``levels``.
+
+    A date has few levels, so these are broadcast and the keys stay spread: left to
+    the planner, which takes narrow keys for small, all keys may become rows of the
+    one task that has the levels.
+    """
+    date = dict(zip(schemas.DATE_PARTITION, ("year", "month", "day")))
+    hashed = _hashed(keys.select(*schemas.KEY)).withColumnsRenamed(date).select(*date.values(), *_PLACE).distinct()
+    sought = hashed.join(F.broadcast(levels), [*date.values()]).withColumn("block", _block())
+    return sought.select(*date.values(), "level", "block", *[_bits(i).alias(f"own_{i}") for i in range(8)])
+
+
 def files_with(keys: DataFrame, files: DataFrame, blocks: DataFrame) -> list[str]:
     """The paths of ``files`` (``path``, ``year``, ``month``, ``day``) that may hold one of
     the ``keys`` of their date; ``blocks`` are those of these and other files."""
     date = dict(zip(schemas.DATE_PARTITION, ("year", "month", "day")))
     dated = blocks.join(files, "path")
-    levels = dated.select(*date.values(), "level").distinct()
-    hashed = _hashed(keys.select(*schemas.KEY)).withColumnsRenamed(date).select(*date.values(), *_PLACE)
-    sought = hashed.join(levels, [*date.values()]).withColumn("block", _block())
-    marked = sought.select(*date.values(), "level", "block", *[_bits(i).alias(f"own_{i}") for i in range(8)])
-    met = dated.join(marked.distinct(), [*date.values(), "level", "block"])
+    marked = _sought(keys, dated.select(*date.values(), "level").distinct())
+    met = dated.join(marked, [*date.values(), "level", "block"])
     own = [F.col(f"own_{i}") for i in range(8)]
     held = [F.col(w).bitwiseAND(o) == o for w, o in zip(_WORDS, own)]
     return sorted(r.path for r in met.filter(reduce(and_, held)).select("path").distinct().collect())

@@ -7,7 +7,7 @@ from records import table_rows
 from pyspark.sql import functions as F
 
 from stopwise import schemas
-from stopwise.operators import correlation, dedup, encoding
+from stopwise.operators import correlation, dedup, encoding, key_filter
 from stopwise.plans import history
 from stopwise.sources import record_table, table_log
 from stopwise.sources.table_log import TableLog
@@ -256,3 +256,17 @@ def test_crowded_dates_are_compacted(spark, tmp_path):
     assert record_table.compact_closed(spark, table, 2, open_batches=("b-3",)) == 2
     assert record_table.compact_closed(spark, table, 2) == 0
     assert _state(spark, table) == before
+
+
+def test_keys_that_are_looked_up_stay_spread(spark, tmp_path):
+    some = spark.range(60).select(F.col("id").cast("double").alias("d"))
+    rows = table_rows(spark, {}).crossJoin(some).withColumn("Delay", F.col("d")).select(*schemas.KEY)
+    rows.repartition(4).write.parquet(f"{tmp_path}/keys")
+    keys = spark.read.parquet(f"{tmp_path}/keys")
+    dates = keys.select(*schemas.DATE_PARTITION).distinct().toDF("year", "month", "day")
+    # Larger than the keys by the planner's estimate, as a table of blocks may be.
+    levels = dates.crossJoin(spark.range(100_000).selectExpr("cast(id as int) as level").filter("level in (3, 5)"))
+    marked = key_filter._sought(keys, levels)
+    join = next(n for n in marked._jdf.queryExecution().executedPlan().toString().split("\n") if "HashJoin" in n)
+    assert "BroadcastHashJoin" in join and "BuildRight" in join
+    assert marked.count() == 2 * keys.count()
