@@ -16,6 +16,10 @@ MOMENTS = (
 _LOST = 1e-6
 
 
+def _ends(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return low.min(axis=0), high.max(axis=0)
+
+
 class PairMoments:
     """Moments of every column pair over the rows where both are present.
 
@@ -74,10 +78,13 @@ class PairMoments:
             lo[:], hi[:] = x.min(axis=0)[:, None], x.max(axis=0)[:, None]
             return lo, hi
         low, high = np.where(present, x, np.inf), np.where(present, x, -np.inf)
+        found = {}  # most columns have a value in the same rows
         for b in range(width):
             rows = present[:, b]
-            if rows.any():
-                lo[:, b], hi[:, b] = low[rows].min(axis=0), high[rows].max(axis=0)
+            same = rows.tobytes()
+            if same not in found:
+                found[same] = _ends(low[rows], high[rows]) if rows.any() else (np.inf, -np.inf)
+            lo[:, b], hi[:, b] = found[same]
         return lo, hi
 
     def _merge(self, n, mean, m2, c, lo, hi) -> None:

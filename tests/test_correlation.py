@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stopwise.operators import correlation
+from stopwise.operators import correlation, pair_moments
 
 
 def _frame(spark, pdf, parts=4):
@@ -108,7 +108,7 @@ def test_tasks_need_no_copy_of_the_package(tmp_path):
     code = f"""
 import sys
 sys.path.insert(0, {repo!r})
-from stopwise.operators import correlation
+from stopwise.operators import correlation, pair_moments
 from stopwise.session import build_session
 spark = build_session("t", "local[2]", spark__ui__enabled="false")
 df = spark.createDataFrame([(1, 2.0), (2, 4.5), (3, 6.0)], "a int, b double")
@@ -119,3 +119,18 @@ print("pairs", correlation.correlation_pairs(df).count())
         [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120
     )
     assert "pairs 1" in ran.stdout, ran.stderr[-2000:]
+
+
+def test_columns_with_values_in_the_same_rows_are_looked_at_once(monkeypatch):
+    ends, calls = pair_moments._ends, []
+    monkeypatch.setattr(pair_moments, "_ends", lambda low, high: calls.append(1) or ends(low, high))
+    x = np.random.default_rng(2).normal(size=(200, 12))
+    x[::3, 4] = x[::5, 7] = x[::5, 8] = x[:, 11] = np.nan
+    moments = pair_moments.PairMoments(12)
+    moments.add(x)
+    assert len(calls) == 3
+    for b in range(11):
+        known = x[~np.isnan(x[:, b])]
+        assert np.array_equal(moments.lo[:11, b], np.nanmin(known, axis=0)[:11])
+        assert np.array_equal(moments.hi[:11, b], np.nanmax(known, axis=0)[:11])
+    assert (moments.lo[:, 11] == np.inf).all() and (moments.hi[:, 11] == -np.inf).all()
