@@ -14,11 +14,20 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
+from functools import reduce
+from math import ceil, exp, lgamma, log
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import (
+    DecisionTreeRegressionModel,
+    DecisionTreeRegressor,
+    RandomForestRegressionModel,
+    RandomForestRegressor,
+)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +53,7 @@ REPORT_NAMES = {
 }
 
 _CODE, _FEATURE = "_indexed", "_feature"
+_SLICE_ROWS = 100_000  # rows of a tree in one task
 _PUBLISHED = "_published"
 
 
@@ -148,6 +158,81 @@ def build_pipeline(
     return Pipeline(stages=[*build_preparation(columns).getStages(), forest])
 
 
+def _draws(seed: int, mean: float) -> Column:
+    """How often a row is drawn: a Poisson number that depends on the key only."""
+    at_most, chances = 0.0, []
+    while at_most < 1 - 2**-32 and len(chances) < mean + 20 * (mean + 1) ** 0.5:
+        at_most += exp(len(chances) * log(mean) - mean - lgamma(len(chances) + 1))
+        chances.append(at_most)
+    draw = _draw(seed, 9)
+    start = F.when(draw < chances[0] * 2**32, 0)
+    steps = enumerate(chances[1:], 1)
+    return reduce(lambda case, step: case.when(draw < step[1] * 2**32, step[0]), steps, start).otherwise(len(chances))
+
+
+def drawn_rows(rows: DataFrame, trees: int, share: float, seed: int = SEED) -> DataFrame:
+    """The rows that a tree draws, with how often all ``trees`` together draw each (``draws``).
+
+    Every tree draws each row a Poisson number of times, ``share`` on average, as Spark's
+    forest does. The sum over the trees is Poisson too, so one number a row tells it.
+    """
+    return rows.withColumn("draws", _draws(seed, trees * share)).filter("draws > 0")
+
+
+def rows_by_tree(drawn: DataFrame, trees: int, seed: int = SEED) -> DataFrame:
+    """Drawn rows once a draw, with the number of the ``tree``: each falls to any tree alike."""
+    each = drawn.withColumn("draw", F.explode(F.sequence(F.lit(1), "draws")))
+    tree = F.pmod(F.xxhash64(F.lit(seed), *schemas.KEY, "draw"), F.lit(trees)).cast("int")
+    return each.withColumn("tree", tree).drop("draws", "draw")
+
+
+def _write_drawn(prepared: DataFrame, folder: str, slices: int) -> None:
+    """Features and label by tree, in the order of the key."""
+    part = F.pmod(F.xxhash64(*schemas.KEY), F.lit(slices))
+    by_tree = prepared.repartition(F.col("tree"), part).sortWithinPartitions("tree", *schemas.KEY)
+    by_tree.select("features", LABEL, "tree").write.partitionBy("tree").parquet(folder)
+
+
+def _grow(forest: RandomForestRegressor, rows: list[DataFrame]) -> RandomForestRegressionModel:
+    """A forest with one tree for each of ``rows``, several of which grow at a time."""
+    spark = rows[0].sparkSession
+    settings = {p: forest.getOrDefault(p) for p in ("featuresCol", "labelCol", "predictionCol", "maxDepth", "seed")}
+    single = DecisionTreeRegressor(**settings)
+    with ThreadPool(min(len(rows), spark.sparkContext.defaultParallelism)) as pool:
+        grown = pool.map(inheritable_thread_target(spark)(single.fit), rows, chunksize=1)
+    return _joined(spark, forest, grown)
+
+
+def _joined(
+    spark: SparkSession, forest: RandomForestRegressor, grown: list[DecisionTreeRegressionModel]
+) -> RandomForestRegressionModel:
+    """The model of ``forest`` that has these trees."""
+    context = spark.sparkContext
+    kinds = context._jvm.org.apache.spark.ml.regression
+    trees = context._gateway.new_array(kinds.DecisionTreeRegressionModel, len(grown))
+    for place, tree in enumerate(grown):
+        trees[place] = tree._java_obj
+    model = RandomForestRegressionModel(kinds.RandomForestRegressionModel(forest.uid, trees, grown[0].numFeatures))
+    return forest._copyValues(model)
+
+
+def _fit_drawn(encoded: DataFrame, pipeline: Pipeline, max_rows: int) -> PipelineModel | None:
+    """``pipeline`` fitted to ``encoded``, whose rows are read for the gaps' means and the
+    draw only: each tree then grows from the rows it has drawn. None if one drew none."""
+    *first, forest = pipeline.getStages()
+    preparation = Pipeline(stages=first).fit(encoded)
+    trees, slices = forest.getNumTrees(), ceil(max_rows / _SLICE_ROWS)
+    drawn = drawn_rows(encoded, trees, forest.getSubsamplingRate(), forest.getSeed())
+    prepared = preparation.transform(drawn).select(*schemas.KEY, "features", "draws")
+    spark, folder = encoded.sparkSession, shared_folder(encoded.sparkSession)
+    _write_drawn(rows_by_tree(prepared, trees, forest.getSeed()), folder, slices)
+    schema = prepared.select("features", LABEL).schema
+    rows = [spark.read.schema(schema).parquet(f"{folder}/{name}") for name in sorted(folders(spark, folder))]
+    grown = _grow(forest, [r.coalesce(slices) for r in rows]) if len(rows) == trees else None
+    remove_folder(spark, folder)
+    return grown and PipelineModel([*preparation.stages, grown])
+
+
 def train(
     records: DataFrame,
     path: str,
@@ -166,7 +251,8 @@ def train(
     until then, and if training breaks off, the model before stays the one that is
     loaded. ``max_rows`` is how many rows a tree draws at most on average; every tree
     draws anew from all of the training part, from which columns, means and labels
-    come too. ``table_version`` is noted with the model.
+    come too; these draws are made before the trees grow, so that no level of a tree
+    passes over rows that it did not draw. ``table_version`` is noted with the model.
     """
     spark = records.sparkSession
     folder = shared_folder(spark)
@@ -181,10 +267,13 @@ def train(
     columns = feature_columns(rows, training, exclude=exclude, select=select)
     share = min(1.0, max_rows / max(1, training.count())) if max_rows is not None else 1.0
     encoded = encoding.label_encode(training, [c for c in columns if c in text], labels)
-    # Every level of the trees passes over the rows, so spread them evenly once.
-    # In a fixed order the same rows give the same forest.
-    spread = encoded.repartition(*schemas.KEY).sortWithinPartitions(*schemas.KEY)
-    pipeline = build_pipeline(columns, share=share, **settings).fit(spread)
+    plan = build_pipeline(columns, share=share, **settings)
+    pipeline = _fit_drawn(encoded, plan, max_rows) if share < 1 else None
+    if pipeline is None:
+        # Every level of the trees passes over the rows, so spread them evenly once.
+        # In a fixed order the same rows give the same forest.
+        spread = encoded.repartition(*schemas.KEY).sortWithinPartitions(*schemas.KEY)
+        pipeline = plan.fit(spread)
     _save(pipeline, f"{path}/{made}/pipeline")
     _publish(spark, path, made, table_version)
     if not stored:

@@ -1,6 +1,8 @@
 import pytest
 from records import table_rows
+from pyspark.ml import Estimator
 from pyspark.ml.feature import StringIndexer
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from stopwise import schemas
@@ -146,6 +148,58 @@ def test_trees_draw_their_own_rows_from_all(records, tmp_path):
     assert means["DirectionRef_number"] == pytest.approx(expected)
 
 
+def test_trees_pass_over_the_rows_they_draw_only(records, tmp_path, monkeypatch):
+    passed, fit = [], Estimator.fit
+
+    def counted(self, dataset, params=None):
+        if isinstance(self, (RandomForestRegressor, DecisionTreeRegressor)):
+            trees = self.getNumTrees() if isinstance(self, RandomForestRegressor) else 1
+            passed.append(trees * dataset.count())
+        return fit(self, dataset, params)
+
+    monkeypatch.setattr(Estimator, "fit", counted)
+    model = dm.train(records, str(tmp_path / "m"), max_rows=20, trees=6, max_depth=2)
+    assert model.pipeline.stages[-1].getNumTrees == 6
+    assert 60 < sum(passed) < 240  # 6 x 20 on average; a forest over all rows passes over 6 x 120
+
+
+def test_draws_are_poisson_and_fall_to_any_tree_alike(records):
+    second = F.explode(F.sequence(F.lit(1), F.lit(100)))
+    rows = records.withColumn("RecordedAtTime_second", second)
+    drawn = dm.drawn_rows(rows, 50, 0.02).cache()
+    total, squares = drawn.agg(F.sum("draws"), F.sum(F.col("draws") ** 2)).first()
+    assert total / 15_000 == pytest.approx(1, abs=0.05)
+    assert squares / 15_000 == pytest.approx(2, abs=0.15)  # variance 1, and the mean's square
+    assert drawn.count() / 15_000 == pytest.approx(0.632, abs=0.02)
+    by_tree = dm.rows_by_tree(drawn, 50)
+    assert by_tree.count() == total
+    sizes = [r["count"] for r in by_tree.groupBy("tree").count().collect()]
+    assert len(sizes) == 50 and 220 < min(sizes) and max(sizes) < 380
+    again = dm.rows_by_tree(dm.drawn_rows(rows.repartition(7), 50, 0.02), 50)
+    assert by_tree.exceptAll(again).isEmpty()
+    assert dm.drawn_rows(rows, 100, 1.0).agg(F.sum("draws")).first()[0] / 1_500_000 == pytest.approx(1, abs=0.01)
+
+
+def test_drawn_rows_give_the_same_model_and_a_stored_one(spark, records, tmp_path):
+    model = dm.train(records, str(tmp_path / "m"), max_rows=60, trees=10)
+    first = _predictions(model, records)
+    assert _predictions(dm.load(spark, str(tmp_path / "m")), records) == first
+    again = dm.train(records.repartition(3), str(tmp_path / "n"), max_rows=60, trees=10)
+    assert _predictions(again, records) == first
+    assert dm.holdout_error(model, records) < dm.mean_error(records)
+
+
+def test_a_tree_that_draws_no_row_leaves_the_draw_to_the_forest(records, tmp_path):
+    model = dm.train(records, str(tmp_path / "m"), max_rows=1, trees=40, max_depth=1)
+    assert model.pipeline.stages[-1].getNumTrees == 40
+
+
+def test_a_tree_of_several_slices(records, tmp_path, monkeypatch):
+    monkeypatch.setattr(dm, "_SLICE_ROWS", 20)
+    model = dm.train(records, str(tmp_path / "m"), max_rows=60, trees=5)
+    assert dm.holdout_error(model, records) < dm.mean_error(records)
+
+
 def test_a_column_with_few_values_stays_a_feature(records, tmp_path):
     """A bound on the rows of a tree does not take away columns."""
     first = F.min(F.struct("RecordedAtTime_hour", "RecordedAtTime_minute"))
