@@ -393,10 +393,6 @@ def predicted_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delay_model.report(_accepted(spark, sf_dir), prediction="Delay")
 
 
-# Rows that a tree of the headline query draws from all of the training part.
-TRAINING_ROWS = 20_000
-
-
 def training_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key of every record and the part it belongs to."""
     training, held_out = delay_model.split(_accepted(spark, sf_dir))
@@ -432,7 +428,7 @@ def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     and with the one loaded from its folder."""
     records = delay_model.snapshot(_accepted(spark, sf_dir))
     path = f"{shared_folder(spark)}/model"
-    model = delay_model.train(records, path, max_rows=TRAINING_ROWS, stored=True)
+    model = delay_model.train(records, path, stored=True)
     training, held_out = delay_model.split(records)
     checked = _scores_checked(spark, path, model, training, held_out)
     better = delay_model.holdout_error(model, records) < delay_model.mean_error(records)

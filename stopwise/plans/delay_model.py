@@ -15,20 +15,20 @@ import json
 import uuid
 from dataclasses import dataclass
 from functools import reduce
-from math import ceil, exp, lgamma, log
+from math import ceil, exp, inf, isqrt, lgamma, log
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel,
     DecisionTreeRegressor,
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stopwise import schemas
@@ -46,14 +46,18 @@ TREES = 100
 SEED = 16
 WINDOW = 100
 MAX_DEPTH = 30  # the deepest trees Spark builds
+BINS = 32  # Spark's number of bins of a feature
 REPORT_NAMES = {
     "VehicleRef": "Vehicle Reference",
     "NextStopPointName": "Next Stop Point",
     PREDICTION: "Predicted Delay (minutes)",
 }
 
-_CODE, _FEATURE = "_indexed", "_feature"
+_CODE, _FEATURE, _BIN = "_indexed", "_feature", "_bin"
 _SLICE_ROWS = 100_000  # rows of a tree in one task
+_SPLIT_ROWS = 10_000  # of more rows, Spark's forest takes the thresholds of splits from a sample
+_PART_ROWS = 25_000, 400_000  # least and most rows that a task passes over
+_LOT_PLACES = 300_000_000  # rows times trees that grow at a time: each such place is eight bytes between passes
 _PUBLISHED = "_published"
 
 
@@ -233,6 +237,90 @@ def _fit_drawn(encoded: DataFrame, pipeline: Pipeline, max_rows: int) -> Pipelin
     return grown and PipelineModel([*preparation.stages, grown])
 
 
+def bin_bounds(rows: DataFrame, columns: list[str], bins: int = BINS) -> dict[str, list[float]]:
+    """The least value of each bin of each column, from all ``rows``: every value is a bin
+    where there are no more than ``bins``, else bins have as many rows as each other.
+
+    The distinct values are sorted by ranges, so no task holds all of a column.
+    """
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession)
+    long = rows.select(*columns).unpivot([], columns, "name", "value")
+    counted = long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("rows"))
+    by_value = counted.repartitionByRange("name", "value").sortWithinPartitions("name", "value")
+    # Slices depend on the sampled range bounds: write them down once. The bins do not.
+    by_value.withColumn("slice", F.spark_partition_id()).write.parquet(folder)
+    placed = spark.read.parquet(folder)
+    column = Window.partitionBy("name")
+    earlier = column.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    in_slice = placed.groupBy("name", "slice").agg(F.count(F.lit(1)).alias("n_values"), F.sum("rows").alias("n_rows"))
+    starts = in_slice.select(
+        "name",
+        "slice",
+        F.coalesce(F.sum("n_values").over(earlier), F.lit(0)).alias("values_before"),
+        F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)).alias("rows_before"),
+        F.sum("n_values").over(column).alias("all_values"),
+        F.sum("n_rows").over(column).alias("all_rows"),
+    )
+    in_order = Window.partitionBy("name", "slice").orderBy("value")
+    up_to = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.col("values_before") + F.row_number().over(in_order) - 1
+    before = F.col("rows_before") + F.sum("rows").over(up_to) - F.col("rows")
+    number = F.when(F.col("all_values") <= bins, place).otherwise(F.floor(before * bins / F.col("all_rows")))
+    binned = placed.join(starts, ["name", "slice"]).select("name", "value", number.alias("bin"))
+    bounds: dict[str, list[float]] = {c: [] for c in columns}
+    for r in binned.groupBy("name", "bin").agg(F.min("value").alias("least")).collect():
+        bounds[r.name].append(r.least)
+    remove_folder(spark, folder)
+    return {c: sorted(found) for c, found in bounds.items()}
+
+
+def _binning(bounds: dict[str, list[float]]) -> list[Bucketizer | SQLTransformer | VectorAssembler]:
+    """Stages that put the numbers of bins in place of the features (``bins``)."""
+    numbers, plain = [f"{c}{_BIN}" for c in bounds], [f"{c}{_BIN}_number" for c in bounds]
+    splits = [[-inf, *least, inf] for least in bounds.values()]
+    # The bucketizer marks its numbers as categories, but they are ordinary ones.
+    unmarked = ", ".join(f"{n} + 0D AS {p}" for n, p in zip(numbers, plain))
+    return [
+        Bucketizer(inputCols=list(bounds), outputCols=numbers, splitsArray=splits),
+        SQLTransformer(statement=f"SELECT *, {unmarked} FROM __THIS__"),
+        VectorAssembler(inputCols=plain, outputCol="bins"),
+    ]
+
+
+def _fit_all(encoded: DataFrame, pipeline: Pipeline, count: int) -> PipelineModel:
+    """``pipeline`` fitted to all ``count`` rows of ``encoded``, the thresholds of its splits too.
+
+    Of more than 10,000 rows Spark's forest would take thresholds from a sample. Here the
+    features are binned by all rows, and as many bins are allowed as make it look at every
+    row: it then finds each number of a bin, ``BINS`` at most. Trees grow in lots, as the
+    forest keeps a draw and a place for each row and tree.
+    """
+    *first, forest = pipeline.getStages()
+    spark, folder = encoded.sparkSession, shared_folder(encoded.sparkSession)
+    preparation = Pipeline(stages=first).fit(encoded)
+    features = preparation.stages[-1].getInputCols()
+    prepared = snapshot(preparation.transform(encoded).select(*schemas.KEY, *features), folder)
+    binning = _binning(bin_bounds(prepared, features))
+    binned = PipelineModel(binning).transform(prepared).select(*schemas.KEY, "bins")
+    # Every level of the trees passes over the rows, so spread them evenly; but each part
+    # sends the statistics of all nodes of a level, which for few rows takes longer than the
+    # rows do. In a fixed order the same rows give the same forest.
+    least, most = _PART_ROWS
+    parts = max(ceil(count / most), min(ceil(count / least), spark.sparkContext.defaultParallelism))
+    spread = binned.repartition(parts, *schemas.KEY).sortWithinPartitions(*schemas.KEY)
+    trees = forest.getNumTrees()
+    lots = min(trees, ceil(count * trees / _LOT_PLACES))
+    grown = []
+    for lot in range(lots):
+        size = trees * (lot + 1) // lots - trees * lot // lots
+        allowed = min(max(BINS + 1, isqrt(count) + 1), 46_340)  # its square is an Int in Spark
+        own = {"featuresCol": "bins", "numTrees": size, "seed": forest.getSeed() + lot * parts, "maxBins": allowed}
+        grown += forest.copy({forest.getParam(p): v for p, v in own.items()}).fit(spread).trees
+    remove_folder(spark, folder)
+    joined = _joined(spark, forest.copy({forest.featuresCol: "bins"}), grown)
+    return PipelineModel([*preparation.stages, *binning, joined])
+
+
 def train(
     records: DataFrame,
     path: str,
@@ -249,9 +337,10 @@ def train(
     The records are written down first, unless they are a ``stored`` table. Labels and
     pipeline lie in a folder of their own, which is published when both are whole:
     until then, and if training breaks off, the model before stays the one that is
-    loaded. ``max_rows`` is how many rows a tree draws at most on average; every tree
-    draws anew from all of the training part, from which columns, means and labels
-    come too; these draws are made before the trees grow, so that no level of a tree
+    loaded. Every tree draws as many rows as the training part has, from all of it, and
+    thresholds of splits come from all of it too. ``max_rows`` bounds the rows a tree draws
+    on average; every tree draws anew from all of the training part, from which columns,
+    means and labels come too; these draws are made before the trees grow, so that no level of a tree
     passes over rows that it did not draw. ``table_version`` is noted with the model.
     """
     spark = records.sparkSession
@@ -265,12 +354,14 @@ def train(
     labels = encoding.write_index(index, f"{path}/{made}/labels")
     training = split(rows)[0]
     columns = feature_columns(rows, training, exclude=exclude, select=select)
-    share = min(1.0, max_rows / max(1, training.count())) if max_rows is not None else 1.0
+    count = training.count()
+    share = min(1.0, max_rows / max(1, count)) if max_rows is not None else 1.0
     encoded = encoding.label_encode(training, [c for c in columns if c in text], labels)
     plan = build_pipeline(columns, share=share, **settings)
     pipeline = _fit_drawn(encoded, plan, max_rows) if share < 1 else None
+    if pipeline is None and count > _SPLIT_ROWS:
+        pipeline = _fit_all(encoded, plan, count)
     if pipeline is None:
-        # Every level of the trees passes over the rows, so spread them evenly once.
         # In a fixed order the same rows give the same forest.
         spread = encoded.repartition(*schemas.KEY).sortWithinPartitions(*schemas.KEY)
         pipeline = plan.fit(spread)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from records import table_rows
 from pyspark.ml import Estimator
@@ -5,6 +6,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registered
 from stopwise import schemas
 from stopwise.plans import delay_model as dm
 
@@ -200,6 +202,89 @@ def test_a_tree_of_several_slices(records, tmp_path, monkeypatch):
     assert dm.holdout_error(model, records) < dm.mean_error(records)
 
 
+@pytest.fixture(scope="module")
+def many(records):
+    """15,000 records, about 12,000 of them in the training part."""
+    return records.withColumn("RecordedAtTime_second", F.explode(F.sequence(F.lit(1), F.lit(100)))).cache()
+
+
+def test_the_registered_query_grows_every_tree_from_all_training_rows(spark, tmp_path, monkeypatch):
+    events = spark.range(40_000).selectExpr(
+        "id as event_id", "id % 1500 as user_id", "concat('t', id % 5) as event_type", "cast(id % 997 as double) as value"
+    )
+    ts = F.expr("timestampadd(SECOND, cast(event_id * 61 as int), timestamp '2024-01-01 00:00:00')")
+    events.withColumn("ts", ts).write.parquet(str(tmp_path / "events.parquet"))
+    accepted, fitted = registered._accepted(spark, str(tmp_path)), []
+    fit, train = Estimator.fit, dm.train
+
+    def counted(self, dataset, params=None):
+        if isinstance(self, (RandomForestRegressor, DecisionTreeRegressor)):
+            share = self.getOrDefault("subsamplingRate") if isinstance(self, RandomForestRegressor) else None
+            fitted.append((type(self), dataset.count(), share))
+        return fit(self, dataset, params)
+
+    monkeypatch.setattr(Estimator, "fit", counted)
+    monkeypatch.setattr(dm, "train", lambda *args, **kwargs: train(*args, **kwargs, trees=2, max_depth=3))
+    assert not registered.train_and_score(spark, str(tmp_path)).filter("not scored or not same_when_loaded").count()
+    training = dm.split(accepted)[0].count()
+    assert training > 20_000
+    assert fitted == [(RandomForestRegressor, training, 1.0)]
+
+
+def test_bins_are_made_from_all_rows(many):
+    rows = many.select("VehicleRef", F.hash("*").cast("double").alias("a"), F.col("DistanceFromStop").alias("b"))
+    rows = rows.withColumn("c", F.when(F.col("a") == rows.agg(F.max("a")).first()[0], 7.0).otherwise(F.lit(1.0)))
+    rows = rows.withColumn("d", F.when(F.col("a") < 0, 0.0).otherwise(F.col("a"))).cache()
+    found = dm.bin_bounds(rows, ["a", "b", "c", "d"])
+    assert found["b"] == [float(n) for n in range(13)] and found["c"] == [1.0, 7.0]
+    for c in ("a", "d"):
+        values = np.sort(np.array([r[0] for r in rows.select(c).collect()]))
+        least, before = np.unique(values, return_index=True)
+        assert found[c] == sorted(least[np.unique(before * 32 // len(values), return_index=True)[1]].tolist())
+    assert len(found["a"]) == 32 and 15 <= len(found["d"]) <= 18
+    assert dm.bin_bounds(rows.repartition(7), ["d"])["d"] == found["d"]
+
+
+def test_a_value_of_few_rows_is_a_threshold_however_many_the_rows_are(many, tmp_path):
+    rows = many.withColumn("RecordedAtTime_day", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    second, few = F.col("RecordedAtTime_second"), (F.col("RecordedAtTime_minute") == 0) & (F.col("RecordedAtTime_day") < 3)
+    rare = rows.withColumn("DirectionRef", F.when(few & (second % 10 == 0), second).otherwise(0))
+    rare = rare.withColumn("Delay", F.when(F.col("DirectionRef") % 20 == 10, 9e6).otherwise(1.0))
+    excluded = tuple(c for c in schemas.TABLE_ORDER if c not in ("DirectionRef", "Delay"))
+    model = dm.train(rare, str(tmp_path / "m"), trees=3, max_depth=12, exclude=excluded)
+    training = dm.predict(model, dm.split(rare)[0]).filter("DirectionRef > 0").groupBy("DirectionRef", "Delay")
+    means = training.agg(F.avg(dm.PREDICTION).alias("mean")).collect()
+    assert len(means) == 10 and all((r["mean"] > 5e6) == (r["Delay"] > 1) for r in means)
+
+
+def test_trees_that_grow_in_lots_are_one_forest(spark, many, tmp_path, monkeypatch):
+    monkeypatch.setattr(dm, "_LOT_PLACES", 30_000)
+    monkeypatch.setattr(dm, "_PART_ROWS", (1_000, 5_000))
+    model = dm.train(many, str(tmp_path / "m"), trees=5, max_depth=6)
+    forest = model.pipeline.stages[-1]
+    assert forest.getNumTrees == 5 and forest.getOrDefault("subsamplingRate") == 1.0
+    assert len({t.toDebugString.split("\n", 1)[1] for t in forest.trees}) == 5
+    key = [*schemas.RECORDED_PARTS, dm.PREDICTION]
+    first = dm.predict(model, many).select(key)
+    assert first.count() == 15_000
+    assert first.exceptAll(dm.predict(dm.load(spark, str(tmp_path / "m")), many).select(key)).isEmpty()
+    again = dm.train(many.repartition(3), str(tmp_path / "n"), trees=5, max_depth=6)
+    assert first.exceptAll(dm.predict(again, many).select(key)).isEmpty()
+    assert dm.holdout_error(model, many) < dm.mean_error(many)
+
+
+def test_training_on_many_rows_leaves_no_intermediate_table(many, tmp_path, monkeypatch):
+    made = []
+
+    def folder(spark):
+        made.append(tmp_path / f"shared-{len(made)}")
+        return str(made[-1])
+
+    monkeypatch.setattr(dm, "shared_folder", folder)
+    dm.train(many, str(tmp_path / "m"), trees=1, max_depth=2)
+    assert len(made) == 3 and not any(m.exists() for m in made)
+
+
 def test_a_column_with_few_values_stays_a_feature(records, tmp_path):
     """A bound on the rows of a tree does not take away columns."""
     first = F.min(F.struct("RecordedAtTime_hour", "RecordedAtTime_minute"))
