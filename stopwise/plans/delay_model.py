@@ -306,7 +306,8 @@ def _fit_all(encoded: DataFrame, pipeline: Pipeline, count: int) -> PipelineMode
     # sends the statistics of all nodes of a level, which for few rows takes longer than the
     # rows do. In a fixed order the same rows give the same forest.
     least, most = _PART_ROWS
-    parts = max(ceil(count / most), min(ceil(count / least), spark.sparkContext.defaultParallelism))
+    cores = spark.sparkContext.defaultParallelism
+    parts = min(ceil(count / least), cores * ceil(count / (most * cores)))
     spread = binned.repartition(parts, *schemas.KEY).sortWithinPartitions(*schemas.KEY)
     trees = forest.getNumTrees()
     lots = min(trees, ceil(count * trees / _LOT_PLACES))
